@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from turnwise.llm import conversations, quota_sample, survivors
+from turnwise.llm import byte_pairs, conversations, quota_sample, survivors
 from turnwise.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +21,14 @@ def queries() -> dict[str, Query]:
         "p5_report": lambda s, d: quota_sample.report(table(s, d, "train_records"), table(s, d, "tag_targets")),
         "p5_sample": lambda s, d: quota_sample.sample(table(s, d, "train_records"), table(s, d, "tag_targets")),
         "p7_found": lambda s, d: conversations.found(table(s, d, "message_rows")),
+        "p8_ids": lambda s, d: byte_pairs.encoded(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
+        "p8_roundtrip": lambda s, d: _roundtrip(table(s, d, "documents")),
         "p7_conversations": lambda s, d: conversations.conversations(table(s, d, "message_rows")),
     }
+
+
+def _roundtrip(documents: DataFrame) -> DataFrame:
+    """doc_id, n_ids, same: whether decoding the ids gives the text again."""
+    ids = byte_pairs.encoded(documents.select("doc_id", "text"))
+    back = byte_pairs.decoded(ids, into="back")
+    return back.select("doc_id", F.size("ids").alias("n_ids"), (F.coalesce("text", F.lit("")) == F.col("back")).alias("same"))
