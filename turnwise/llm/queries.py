@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import byte_pairs, conversations, quota_sample, survivors
+from turnwise.llm import byte_pairs, conversations, leaks, quota_sample, skeleton, survivors
 from turnwise.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,10 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: conversations.found(table(s, d, "message_rows")),
         "p8_ids": lambda s, d: byte_pairs.encoded(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "ids"),
         "p8_roundtrip": lambda s, d: _roundtrip(table(s, d, "documents")),
+        "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: skeleton.found(table(s, d, "documents")),
+        "p10_classes": lambda s, d: skeleton.classes(table(s, d, "documents")),
+        "p10_canonical": lambda s, d: skeleton.with_canonical(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "canonical"),
         "p7_conversations": lambda s, d: conversations.conversations(table(s, d, "message_rows")),
     }
 
