@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,10 +129,14 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 3, seed: int = 3, batch: i
 
 #: How umlauts and ligatures are written without accents.
 PLAIN_LETTERS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "œ": "oe", "æ": "ae"})
+MARKS = regex.compile(r"\p{Mn}+")
 
 
 def without_accents(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower().translate(PLAIN_LETTERS)) if not unicodedata.combining(c))
+    text = text.lower()
+    if text.isascii():
+        return text
+    return MARKS.sub("", unicodedata.normalize("NFD", text.translate(PLAIN_LETTERS)))
 
 
 def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:

@@ -39,27 +39,39 @@ class Sentence:
     whole: bool  # ends by punctuation or a line end
 
 
+_NOT_LINE_END = regex.compile(r"[^\n]")
+_NOT_WORD = regex.compile(r"[^\p{L}\p{N}/]+")
+_BLANKS = regex.compile(r"\s+")
+_HAN = regex.compile(HAN)
+_TWO_HAN = regex.compile(rf"{HAN}{{2}}")
+_TWO_WORDS = regex.compile(r"\p{L}{2,}[^\p{L}]+(?:\p{L}[^\p{L}]+)*\p{L}{2,}")
+
+
 def _blank(m: regex.Match) -> str:
     """As many blanks as the match has characters, so that places stay."""
-    return regex.sub(r"[^\n]", " ", m[0])
+    return _NOT_LINE_END.sub(" ", m[0])
 
 
 def prose(text: str) -> str:
     """The text with code, JSON, calls and tags blanked out; the same length."""
-    text = TAGS.sub(_blank, BLOCKS.sub(_blank, text))
-    for _ in range(8):
-        shorter = BRACES.sub(_blank, text)
-        if shorter == text:
-            break
-        text = shorter
-    return OPEN_BRACE.sub(_blank, text)
+    if "<" in text or "```" in text:
+        text = TAGS.sub(_blank, BLOCKS.sub(_blank, text))
+    if "{" in text or "[" in text:
+        for _ in range(8):
+            shorter = BRACES.sub(_blank, text)
+            if shorter == text:
+                break
+            text = shorter
+        text = OPEN_BRACE.sub(_blank, text)
+    return text
 
 
 def _has_language(text: str) -> bool:
-    bare = regex.sub(r"[^\p{L}\p{N}/]+", " ", text).strip().lower()
-    if bare in PLACEHOLDERS or text.strip().lower() in PLACEHOLDERS:
+    if _HAN.search(text):
+        return _NOT_WORD.sub(" ", text).strip() not in PLACEHOLDERS
+    if not _TWO_WORDS.search(text):
         return False
-    return bool(regex.search(HAN, bare)) or len(regex.findall(r"\p{L}{2,}", bare)) >= 2
+    return len(text) > 20 or _NOT_WORD.sub(" ", text).strip().lower() not in PLACEHOLDERS
 
 
 def sentences(text: str | None) -> list[Sentence]:
@@ -67,22 +79,27 @@ def sentences(text: str | None) -> list[Sentence]:
     if not text:
         return []
     body = prose(text)
-    cuts = [0, *(m.end() for m in END.finditer(body)), len(body)]
+    mixed = not body.isascii() and _TWO_HAN.search(body) is not None and LATIN_RUN.search(body) is not None
     out = []
-    for a, b in zip(cuts, cuts[1:]):
+    a = 0
+    for b in [*(m.end() for m in END.finditer(body)), -1]:
+        ended = b >= 0
+        if not ended:
+            b = len(body)
         piece = body[a:b]
         if not piece.strip():
+            a = b
             continue
         # a run of Latin words inside a Chinese sentence is a part of its own, and the other way round
         parts = [(0, len(piece))]
-        if regex.search(rf"{HAN}{{2}}", piece) and (runs := [m.span() for m in LATIN_RUN.finditer(piece)]):
+        if mixed and _TWO_HAN.search(piece) and (runs := [m.span() for m in LATIN_RUN.finditer(piece)]):
             marks = sorted({0, len(piece), *(x for r in runs for x in r)})
             parts = list(zip(marks, marks[1:]))
-        ended = bool(END.search(piece)) and END.search(piece).end() == len(piece)
         for s, e in parts:
-            clean = regex.sub(r"\s+", " ", CODES.sub(" ", piece[s:e])).strip()
+            clean = _BLANKS.sub(" ", CODES.sub(" ", piece[s:e])).strip()
             if _has_language(clean):
                 out.append(Sentence(a + s, a + e, clean, ended or e < len(piece)))
+        a = b
     if len(out) == 1:
         out[0].whole = True
     return out
