@@ -23,7 +23,7 @@ ROLES = {"user": ("user", "human", "customer", "prompter"), "assistant": ("assis
 USER, CALL, TOOL, ANSWER, BAD = range(5)
 #: States: 0 between exchanges (start, accepting), 1 an assistant message is due, 2 a tool message is due, 3 dead. STEP[state][symbol].
 STEP = np.array([[1, 3, 3, 3, 3], [3, 2, 3, 0, 3], [3, 3, 1, 3, 3], [3, 3, 3, 3, 3]], dtype=np.int8)
-PIECE = "cid long, first_turn int, first_at timestamp, first_row long, last_turn int, n long, numbered long, flaw boolean, to0 int, to1 int, to2 int"
+PIECE = "cid long, first_turn int, first_at timestamp_ntz, first_row long, last_turn int, n long, numbered long, flaw boolean, to0 int, to1 int, to2 int"
 
 
 def plain_role(role: Column) -> Column:
@@ -89,7 +89,7 @@ def judged(rows: DataFrame) -> DataFrame:
     A conversation with some messages numbered and others not counts as one with gaps. Without numbers the order
     is sent_at, then row_id; a null sent_at comes first. Null valid counts as valid. An empty table gives no rows.
     """
-    slim = deliveries(rows).select("cid", "turn_no", "sent_at", "row_id", "symbol", (~F.coalesce("valid", F.lit(True))).alias("refused"))
+    slim = deliveries(rows).select("cid", "turn_no", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"), "row_id", "symbol", (~F.coalesce("valid", F.lit(True))).alias("refused"))
     keys = ["cid", F.col("turn_no").asc_nulls_last(), "sent_at", "row_id"]
     pieces = slim.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInPandas(_pieces, PIECE)
     order = F.struct(F.coalesce("first_turn", F.lit(2147483647)).alias("t"), "first_at", "first_row", "last_turn", "first_turn", "flaw", F.array("to0", "to1", "to2", F.lit(3)).alias("to"))
