@@ -56,4 +56,4 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 
 def arrivals(stream: DataFrame, time: str = "ingested_at", late: str = "7 days", every: str = "1 day") -> DataFrame:
     """start, worker, n: snapshots by day of arrival and worker, with a watermark for late rows."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, every), "worker").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "worker", "n")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, every), "worker").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "worker", "n")
