@@ -16,12 +16,15 @@ distinct words of that sample, and every task needs the same fixed memory at any
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 import zlib
 from collections.abc import Callable, Mapping
 from functools import lru_cache
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +100,38 @@ def _fold(piece: Column, table: Column) -> Column:
     return F.transform(end["parts"], lambda p: F.get(_find(table, p), F.lit(0)))
 
 
+#: A run of this many characters of one kind may be a word whose fold would be long: such texts take the heap instead.
+LONG_RUN = 200
+_LONG = rf"(?U)\p{{L}}{{{LONG_RUN}}}|\p{{N}}{{{LONG_RUN}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}"
+_WORDS_PY = regex.compile(WORDS.removeprefix("(?U)"))
+
+
+def merged(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
+    """The same merges for a word of any length, with a heap of adjacent pairs: lowest rank first, then leftmost."""
+    if word in ranks:
+        return [ranks[word]]
+    n = len(word)
+    part: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i]
+        if part[i] is None or j < 0 or len(part[i]) + len(part[j]) != size:  # one side has been merged since
+            continue
+        part[i] += part[j]
+        part[j] = None
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for a in (before[i], i):
+            b = after[a] if a >= 0 else -1
+            if b >= 0 and (r := ranks.get(part[a] + part[b])) is not None:
+                heapq.heappush(heap, (r, a, len(part[a]) + len(part[b])))
+    return [ranks[p] for p in part if p is not None]
+
+
 def _valid_words(ranks: Mapping[bytes, int]) -> dict[str, list[int]]:
     out = {}
     for token, i in ranks.items():
@@ -111,7 +146,8 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", vocabulary: st
     """`df` with the token ids of the text (array<int>), without special tokens; strings that spell special tokens are ordinary text.
 
     Null and empty texts have no ids: an empty array. Texts of any length are encoded whole. Other columns pass unchanged;
-    a column named as `into` is replaced."""
+    a column named as `into` is replaced. Texts with a run of LONG_RUN letters, digits, marks or blanks, whose fold would be long, are merged
+    with a heap in Python, with the same result."""
     ranks = read_ranks(vocabulary)
     cut = cuts(ranks)
     words = _valid_words(ranks)
@@ -134,8 +170,14 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", vocabulary: st
         word = lambda w: F.coalesce(_find(known, w), F.flatten(F.transform(F.split(_bytes(w), cut), piece)))
         return F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), word))
 
+    @F.pandas_udf(IDS)
+    def long_ids(texts: pd.Series) -> pd.Series:
+        ranks = read_ranks(vocabulary)
+        return texts.map(lambda t: [i for w in _WORDS_PY.findall(t) for i in merged(w.encode(), ranks)], na_action="ignore")
+
     ids = _with(_literal_tables(words, pieces, folded), all_ids)
-    return df.withColumn(into, F.when(F.coalesce(F.length(text) > 0, F.lit(False)), ids).otherwise(F.array().cast(IDS)))
+    long = df.withColumn("_long_ids", long_ids(F.when(F.col(text).rlike(_LONG), F.col(text))))  # null for all but the rare long ones
+    return long.withColumn(into, F.when(F.coalesce(F.length(text) > 0, F.lit(False)), F.coalesce("_long_ids", F.when(F.col("_long_ids").isNull(), ids))).otherwise(F.array().cast(IDS))).drop("_long_ids")
 
 
 def decoded(df: DataFrame, ids: str = "ids", into: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
