@@ -36,7 +36,8 @@ LOOKALIKES = {
 }
 #: The character database's tags of compatibility forms that look the same.
 SAME_LOOK = ("<wide>", "<narrow>", "<noBreak>")
-LINE_ENDS = regex.compile(r"[ \t]*(?:\r\n|[\n\r\v\f\x1c-\x1e\x85  ])")
+LINE_ENDS = frozenset("\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029")
+UNSEEN_BLANKS = regex.compile(r" +\n")
 PICTOGRAPH_JOINER = regex.compile(r"(?<=[\p{Extended_Pictographic}\p{Emoji_Modifier}\uFE0F])‍(?=\p{Extended_Pictographic})")
 JOINER = "\U000F0001"
 
@@ -55,7 +56,9 @@ class _Prototypes(dict):
 
     def __missing__(self, point: int) -> str:
         ch = chr(point)
-        if ch == "\n" or ch == JOINER:
+        if ch in LINE_ENDS:
+            out = "\n"
+        elif ch == JOINER:
             out = ch
         elif ch == "\t" or unicodedata.category(ch) == "Zs":
             out = " "
@@ -76,8 +79,8 @@ def skeleton(text: str) -> str:
         text = PICTOGRAPH_JOINER.sub(JOINER, unicodedata.normalize("NFD", text))
     elif text.isprintable():
         return text.rstrip()
-    text = LINE_ENDS.sub("\n", text).translate(PROTOTYPES)
-    return unicodedata.normalize("NFD", text).rstrip()
+    text = text.replace("\r\n", "\n").translate(PROTOTYPES)
+    return UNSEEN_BLANKS.sub("\n", unicodedata.normalize("NFD", text)).rstrip()
 
 
 def canonical(text: str) -> str:
