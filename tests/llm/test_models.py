@@ -102,3 +102,15 @@ def test_repetition_found(spark):
     brute = {(r.cid, i) for r in df.collect() for i, m in enumerate(r.curr_messages or [], 1) if m and repetition.repeated_share(m.content) >= 0.5}
     assert got == brute and {(1, 2), (2, 1)} <= got
     assert repetition.found(df.limit(0)).count() == 0
+
+
+def test_repetition_share_of_every_message(spark):
+    part = "please wait for a moment while the clerk looks for your parcel in the store"
+    bare = [dialogue(-1 - i) for i in range(600)]  # nothing to learn from
+    rows = [dialogue(1, ("user", "a plain question about the weather of today"), ("assistant", f"{part} and then {part}")), dialogue(2, ("assistant", f"{part}, thank you very much indeed for all the kind help today, {part}"), ("assistant", "12 34")), dialogue(3, ("assistant", part), ("assistant", f"{part} " * 9))]
+    big = table(spark, SMALL, "dialogues").select("cid", "curr_messages", "is_en", "possible_wrong_turns")
+    for df in (spark.createDataFrame(rows, DIALOGUE).unionByName(big, allowMissingColumns=True), spark.createDataFrame(bare + rows, DIALOGUE).coalesce(1)):
+        got = {(r.cid, r.turn_no): r.repeated for r in repetition.shares(df).collect()}
+        assert got == {(r.cid, i): repetition.repeated_share(m.content) for r in df.collect() for i, m in enumerate(r.curr_messages or [], 1) if m and m.content}
+        assert 0 < got[1, 2] < 0.5 and 0 < got[2, 1] < 0.5 and got[1, 1] == got[2, 2] == 0.0
+        assert {tuple(r) for r in repetition.found(df).collect()} == {k for k, x in got.items() if x >= 0.5} and got[3, 2] > 0.5

@@ -6,8 +6,8 @@ the letters in such runs over all letters.
 
 Messages are scored by gradient-boosted trees over statistics of the message. The trees are grown here, on a
 bounded sample, with monotonic constraints (more repetition never lowers the score), and flattened into node
-arrays, so that a batch is scored by a few array look-ups for each level. Messages that score above a low bound
-are then measured exactly.
+arrays, so that a batch is scored by a few array look-ups for each level. The score chooses nothing: the share of
+every message is measured exactly, from the same tokens as its statistics.
 """
 
 from __future__ import annotations
@@ -69,8 +69,12 @@ def repeated_share(text: str | None) -> float:
     if not text:
         return 0.0
     codes, letters, weight = _tokens(text)
+    return _share(letters, _repeated(codes, weight))
+
+
+def _share(letters: np.ndarray, repeated: np.ndarray) -> float:
     total = letters.sum()
-    return float(letters[_repeated(codes, weight)].sum() / total) if total else 0.0
+    return float(letters[repeated].sum() / total) if total else 0.0
 
 
 FEATURES = ("tokens", "distinct_tokens", "distinct_pairs", "distinct_triples", "repeated_tokens", "packed", "repeated_lines", "top_token")
@@ -78,18 +82,21 @@ FEATURES = ("tokens", "distinct_tokens", "distinct_pairs", "distinct_triples", "
 DIRECTION = (0, -1, -1, -1, 1, -1, 1, 0)
 
 
-def statistics(text: str) -> np.ndarray:
-    codes, _, weight = _tokens(text)
+def statistics(text: str) -> tuple[np.ndarray, float]:
+    """The features of a text and its repeated_share."""
+    codes, letters, weight = _tokens(text)
     n = len(codes)
     if not n:
-        return np.array([0, 1, 1, 1, 0, 1, 0, 0], dtype=np.float64)
+        return np.array([0, 1, 1, 1, 0, 1, 0, 0], dtype=np.float64), 0.0
+    repeated = _repeated(codes, weight)
     pairs = codes[:-1] * np.uint64(_BASE) + codes[1:]
     triples = pairs[:-1] * np.uint64(_BASE) + codes[2:]
     share = lambda a: len(np.unique(a)) / len(a) if len(a) else 1.0
     lines = [x.strip() for x in regex.split(r"[.!?。！？\n]+", DIGITS.sub("", text)) if len(x.strip()) > 3]
     raw = text.encode()
     _, count = np.unique(codes, return_counts=True)
-    return np.array([n, share(codes), share(pairs), share(triples), _repeated(codes, weight).mean(), min(1.5, len(zlib.compress(raw, 1)) / len(raw)), 1 - len(set(lines)) / len(lines) if lines else 0.0, count.max() / n])
+    x = np.array([n, share(codes), share(pairs), share(triples), repeated.mean(), min(1.5, len(zlib.compress(raw, 1)) / len(raw)), 1 - len(set(lines)) / len(lines) if lines else 0.0, count.max() / n])
+    return x, _share(letters, repeated)
 
 
 @dataclass
@@ -178,16 +185,15 @@ def fit(texts: list[str], least: float = 0.5) -> Trees:
         joint = " " if " " in t else ""
         more.append(joint.join([*words, *(part * int(rng.integers(1, 9)))]))
     every = [t for t in [*texts, *more] if t.strip()]
-    x = np.stack([statistics(t) for t in every]) if every else np.zeros((1, len(FEATURES)))
-    y = np.array([repeated_share(t) >= least for t in every], dtype=np.float64) if every else np.zeros(1)
-    return grow(x, y)
+    both = [statistics(t) for t in every] or [(np.zeros(len(FEATURES)), 0.0)]
+    return grow(np.stack([x for x, _ in both]), np.array([y >= least for _, y in both], dtype=np.float64))
 
 
-def shares(dialogues: DataFrame, messages: str = "curr_messages", least: float = 0.5, bound: float = 0.02, train_rows: int = 600) -> DataFrame:
-    """cid, turn_no, score, repeated (the share, null where the score is below `bound`) of each message with content.
+def shares(dialogues: DataFrame, messages: str = "curr_messages", least: float = 0.5, train_rows: int = 600) -> DataFrame:
+    """cid, turn_no, score (chance of a share of at least `least`), repeated (the share) of each message with content.
 
     Null and empty contents have no row; a content without letters has share 0. The trees learn from at most `train_rows`
-    dialogues; every message is scored, and whole."""
+    dialogues; every message is scored and measured, and whole."""
     spark = dialogues.sparkSession
     some = dialogues.where(F.col(messages).isNotNull()).select(F.transform(messages, lambda m: m["content"]).alias("c")).limit(train_rows).collect()  # bounded
     share = spark.sparkContext.broadcast(fit([t for r in some for t in r["c"] if t], least))
@@ -197,8 +203,9 @@ def shares(dialogues: DataFrame, messages: str = "curr_messages", least: float =
         trees = share.value
         for b in batches:
             texts = b.column(2).to_pylist()
-            score = trees.score(np.stack([statistics(t) for t in texts])) if texts else np.zeros(0)
-            exact = [repeated_share(t) if s >= bound else None for t, s in zip(texts, score.tolist())]
+            both = [statistics(t) for t in texts]
+            score = trees.score(np.stack([x for x, _ in both])) if both else np.zeros(0)
+            exact = [y for _, y in both]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array(exact, pa.float64())], ["cid", "turn_no", "score", "repeated"])
 
     return rows.mapInArrow(measure, "cid long, turn_no int, score double, repeated double")
