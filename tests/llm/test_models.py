@@ -72,6 +72,30 @@ def test_pair_defects(spark, texts):
     assert pairs.found(df.limit(0), *texts).count() == 0
 
 
+def test_text_ends_are_counted_over_all_dialogues(spark, texts):
+    ask = ("user", "Could you please check the weather in the town for tomorrow?")
+    rows = [dialogue(i, ask, ("assistant", f"I looked at the book of week {i} and the clerk took a walk in the park.")) for i in range(3000)]
+    rows += [dialogue(i, ask, ("assistant", f"The weather of week {i} is fine. Kind regards, your help desk")) for i in range(3000, 3300)]
+    rows += [dialogue(9000, ask, ("assistant", "I looked at the book of week 8 and the clerk took a wal"))]
+    df = spark.createDataFrame(rows, DIALOGUE).coalesce(1)
+    assert {tuple(r) for r in pairs.found(df, *texts).collect()} == {(9000, 2, "truncated")}
+
+
+def test_own_sightings_are_left_out_exactly(spark):
+    all_ = ["The box is here. The box is there. The box", "A short one", "Please wait for the box.\n\n  \n And then\nwait 12 more days", "正在为您查询请稍候。好的，没问题，请您稍等一下好吗？谢谢", "The box is red and the box is blue, the box"]
+    df = spark.createDataFrame([dialogue(1, *(("assistant", t) for t in all_[:2])), dialogue(None, (" Assistant ", all_[2]), ("user", "This is not an answer, so it does not count. Yes"), None, ("assistant", None)), dialogue(3, *(("assistant", f"{t}  ") for t in all_[3:])), (5, None, None, None, "t", 1, "m", 2)], DIALOGUE).repartition(3)
+    model = pairs.fit_ends(df)
+    assert model.seen[0, 0] == sum(len(t) for t in all_ if len(t) > 20) and (model.seen[1:].sum(axis=1) == model.seen[0, 0]).all()
+    assert model.ended[0, 0] == sum(len({len(t[: m.end()].rstrip()) for m in sentences.END.finditer(t)} | {len(t)}) for t in all_ if len(t) > 20) == 10 and (model.ended <= model.seen).all()
+    for k, t in enumerate(all_):
+        others = pairs.EndModel.empty()
+        for x in all_[:k] + all_[k + 1 :]:
+            if len(x) > 20:
+                others.add([x])
+        assert model.chance(t) == others.chance(t, included=False)
+    assert pairs.fit_ends(df.limit(0)).seen.sum() == 0
+
+
 def test_repetition_measure():
     assert repetition.repeated_share("one two three four one two three four") == 0.5
     assert repetition.repeated_share("请稍候正在为您查询" * 4) == 0.75

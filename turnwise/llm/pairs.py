@@ -5,7 +5,8 @@ the sentences of prompt and response; a response that is wholly in languages the
 `other_language`. An n-gram model with an end symbol gives the likelihood that a text ends where it does; a
 response whose end is far less likely than its continuation is `truncated`, as is one with an unclosed tag or
 fence, or a call whose parameters are cut JSON. Empty responses, refusals and copies of the prompt are told by
-what is left of the text. Both models are trained here, on bounded samples.
+what is left of the text. Both models are trained here: the classifier on a bounded sample of labelled sentences,
+the n-gram model on the texts of all dialogues.
 """
 
 from __future__ import annotations
@@ -98,6 +99,19 @@ def _shape(text: str) -> np.ndarray:
     return np.frombuffer(("\x02" * ENDS + t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
 
 
+def _cells(shape: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each n the hashed context of n characters that ends at each place from the first after the start signs."""
+    h = np.zeros(len(shape) - ENDS, dtype=np.uint64)
+    for n in range(1, ENDS + 1):
+        h = (h + shape[ENDS + 1 - n : len(shape) + 1 - n]) * np.uint64(0x9E3779B97F4A7C15)
+        yield n, ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def _counts(text: str) -> bool:
+    """Whether a text counts for the model of ends."""
+    return len(text.strip()) > 20
+
+
 @dataclass
 class EndModel:
     """Counts of contexts (the last n characters, hashed) and of those at which a sentence, a line or a text ended."""
@@ -105,18 +119,40 @@ class EndModel:
     seen: np.ndarray  # (ENDS + 1) x 2^BITS
     ended: np.ndarray
 
-    def chance(self, text: str) -> float:
+    @classmethod
+    def empty(cls) -> EndModel:
+        return cls(np.zeros((ENDS + 1, 1 << BITS), np.int64), np.zeros((ENDS + 1, 1 << BITS), np.int64))
+
+    def add(self, texts: list[str], block: int = 1 << 18) -> None:
+        """Count the contexts and ends of texts without blanks at their ends, in blocks of about `block` characters."""
+        start = 0
+        while start < len(texts):
+            end, size, stops = start, 0, []
+            while end < len(texts) and size < block:
+                stops += [size + x - 1 for x in _ends(texts[end])]
+                size += len(texts[end]) + ENDS
+                end += 1
+            part = texts[start:end]
+            inside = np.ones(size, dtype=bool)  # from the first character on, without the start signs of the next texts
+            for at in np.cumsum([len(t) + ENDS for t in part]).tolist():
+                inside[at - ENDS : at] = False
+            inside, last = inside[: size - ENDS], np.array(stops, dtype=np.int64)
+            self.seen[0, 0] += inside.sum()
+            self.ended[0, 0] += len(last)
+            for n, at in _cells(_shape(("\x02" * ENDS).join(part))):
+                self.seen[n] += np.bincount(at[inside], minlength=1 << BITS)
+                self.ended[n] += np.bincount(at[last], minlength=1 << BITS)
+            start = end
+
+    def chance(self, text: str, included: bool = True) -> float:
         """That a text ends after its last characters: from short contexts to long ones, each weighed by how often it was seen.
 
-        One sighting of each context and end is left out, as the text itself may be among those that were counted."""
-        c = _shape(text[-ENDS:])
-        p = self.ended[0, 0] / max(1.0, self.seen[0, 0])
-        h = np.uint64(0)
-        for n in range(1, ENDS + 1):
-            with np.errstate(over="ignore"):
-                h = (h + c[-n]) * np.uint64(0x9E3779B97F4A7C15)
-                at = int((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS))
-            p = (max(self.ended[n, at] - 1, 0) + 2 * p) / (max(self.seen[n, at] - 1, 0) + 2)
+        What the text itself added is left out, if it is `included` in the counts."""
+        own, stops = included and _counts(text), np.array(_ends(text)) - 1
+        p = float((self.ended[0, 0] - own * len(stops)) / max(1, self.seen[0, 0] - own * len(text)))
+        for n, at in _cells(_shape(text)):
+            mine = at == at[-1]
+            p = (self.ended[n, at[-1]] - own * mine[stops].sum() + 2 * p) / (self.seen[n, at[-1]] - own * mine.sum() + 2)
         return float(p)
 
     def last(self, text: str) -> float:
@@ -129,26 +165,38 @@ class EndModel:
 
 def _ends(text: str) -> list[int]:
     """Where a sentence, a line or the text ends."""
-    return sorted({len(text[: m.end()].rstrip()) for m in END.finditer(text)} - {0} | {len(text)})
-
-
-def fit_ends(texts: list[str]) -> EndModel:
-    """Count contexts, and those at which a sentence, a line or a text ended."""
-    seen, ended = np.zeros((ENDS + 1, 1 << BITS), np.float32), np.zeros((ENDS + 1, 1 << BITS), np.float32)
-    for t in texts:
-        c, stops = _shape(t), np.array(_ends(t)) - 1
-        size = len(c) - ENDS
-        if size != len(t):
-            continue
-        seen[0, 0] += size
-        ended[0, 0] += len(stops)
-        h = np.zeros(size, dtype=np.uint64)
-        for n in range(1, ENDS + 1):
-            h = (h + c[ENDS + 1 - n : len(c) + 1 - n]) * np.uint64(0x9E3779B97F4A7C15)
-            at = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
-            np.add.at(seen[n], at, 1)
-            np.add.at(ended[n], at[stops], 1)
-    return EndModel(seen, ended)
+    out, before = set(), 0
+    for m in END.finditer(text):
+        at = m.end()
+        while at > before and text[at - 1].isspace():
+            at -= 1
+        before = at
+        out.add(at)
+    return sorted(out - {0} | {len(text)})
+
+
+def _role(message: dict | None) -> str:
+    return ((message or {}).get("role") or "").strip().lower()
+
+
+def fit_ends(dialogues: DataFrame, messages: str = "curr_messages") -> EndModel:
+    """Count over all assistant texts. Each task sums in arrays of fixed size and hands on what isn't 0; at most (ENDS + 1) x 2^BITS sums reach the driver."""
+    some = F.filter(messages, lambda m: F.lower(m["role"]).contains("assistant"))
+    rows = dialogues.where(F.col(messages).isNotNull()).select(F.transform(some, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = EndModel.empty()
+        for b in batches:
+            model.add([m["content"].rstrip() for ms in b.column(0).to_pylist() for m in ms if _role(m) == "assistant" and m["content"] and _counts(m["content"])])
+        cells = np.flatnonzero(model.seen)
+        for k in range(0, len(cells), 1 << 16):
+            at = cells[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(model.seen.flat[at], pa.int64()), pa.array(model.ended.flat[at], pa.int64())], ["cell", "seen", "ended"])
+
+    sums = rows.mapInArrow(count, "cell int, seen long, ended long").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")).toArrow()  # bounded
+    model, at = EndModel.empty(), sums["cell"].to_numpy()
+    model.seen.flat[at], model.ended.flat[at] = sums["seen"].to_numpy(), sums["ended"].to_numpy()
+    return model
 
 
 #: Ways to decline, in five languages, without accents and in lower case.
@@ -263,16 +311,15 @@ def own_defect(content: str | None, parameters: list[str | None], prompt: str, e
     return "truncated" if is_cut(content, ends) else "?"
 
 
-def pairs(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "curr_messages", texts_for_ends: int = 3000) -> DataFrame:
+def pairs(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "curr_messages") -> DataFrame:
     """cid, turn_no, defect (null if there is none), hinted (turn_no is in possible_wrong_turns) of each assistant message after a user message.
 
     An assistant message answers the last user message before it; without one it has no row. Null contents count as
-    empty, null parameters as given whole. Rows with a null cid or null messages have no pairs. Training takes at most
-    `texts_for_ends` dialogues and the bounded sample of labelled sentences; every pair is judged on its whole texts."""
+    empty, null parameters as given whole. Rows with a null cid or null messages have no pairs. Training takes
+    the texts of all dialogues and the bounded sample of labelled sentences; every pair is judged on its whole texts."""
     spark = dialogues.sparkSession
     bayes = fit_bayes(*labelled(*labelled_texts, english(dialogues, messages)))
-    some = dialogues.where(F.col(messages).isNotNull()).select(F.transform(F.filter(messages, lambda m: m["role"] == "assistant"), lambda m: m["content"]).alias("c")).limit(texts_for_ends).collect()  # bounded
-    ends = fit_ends([t.rstrip() for r in some for t in r["c"] if t and len(t.strip()) > 20])
+    ends = fit_ends(dialogues, messages)
     share = spark.sparkContext.broadcast((bayes, ends))
     slim = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), F.transform(m["tool_usage"], lambda t: t["parameters"]).alias("calls")))
     rows = dialogues.where(F.col("cid").isNotNull() & F.col(messages).isNotNull()).select("cid", slim.alias("m"), F.col("possible_wrong_turns").alias("hints"))
@@ -286,7 +333,7 @@ def pairs(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "cur
             for cid, ms, hints in zip(*(b.column(k).to_pylist() for k in range(3))):
                 prompt = None
                 for turn, m in enumerate(ms, 1):
-                    role = ((m or {}).get("role") or "").strip().lower()
+                    role = _role(m)
                     if role == "user":
                         prompt = m["content"] or ""
                     elif role == "assistant" and prompt is not None:
