@@ -129,6 +129,43 @@ def test_bootstrap_bounds():
     assert metrics.bootstrap([0.3], ["a"], 4) == {k: pytest.approx(0.3) for k in ("best", "worst", "majority")}
 
 
+def validated(values, labels):
+    """The rule, one draw after the other."""
+    out, size = {f"mean@{len(values)}": np.mean(values)}, len(values)
+    if size > 1:
+        out[f"std@{size}"] = np.std(values)
+        for n in sorted({2**k for k in range(1, 10) if 2**k < size} | {size}):
+            np.random.seed(42)
+            kept = {"best": [], "worst": [], "maj": []}
+            for _ in range(1000):
+                at = np.random.choice(size, size=n, replace=True).tolist()
+                drawn, votes = [values[i] for i in at], [labels[i] for i in at]
+                kept["best"].append(max(drawn))
+                kept["worst"].append(min(drawn))
+                kept["maj"].append(drawn[votes.index(max(dict.fromkeys(votes), key=votes.count))])
+            out |= {f"{k}@{n}/{f.__name__}": f(x) for k, x in kept.items() for f in (np.mean, np.std)}
+    return out
+
+
+def test_validation_has_every_size_and_deviation(spark):
+    rng = np.random.default_rng(3)
+    groups = {f"u{n}": [(float(x), "abc"[int(y)]) for x, y in sorted(zip(rng.random(n).round(3), rng.integers(0, 3, n)))] for n in (1, 2, 3, 7, 16, 17, 40)}
+    groups["v3"] = [(0.1, "a"), (0.2, "b"), (0.9, "b")]
+    df = spark.createDataFrame([("s", u, x, y) for u, xs in groups.items() for x, y in xs], "source string, uid string, v double, l string")
+    want = {}
+    for xs in groups.values():
+        for k, x in validated([v for v, _ in xs], [y for _, y in xs]).items():
+            want.setdefault(k, []).append(x)
+    got = {r.metric: r.value for r in metrics.validation(df, "source", "uid", "v", "l").collect()}
+    assert got == {k: pytest.approx(np.mean(x)) for k, x in want.items()}
+    assert {"mean@1", "std@3", "best@3/mean", "maj@7/std", "worst@32/mean", "best@40/std"} <= set(got) and "std@1" not in got
+
+
+def test_draws_are_the_same_in_blocks():
+    whole = np.random.RandomState(42).choice(9, (50, 7), replace=True)
+    assert (np.concatenate(list(metrics._draws(9, 7, 50, 42, most=20))) == whole).all()
+
+
 def test_difficulty(spark):
     rows = spark.createDataFrame([([-1.0, -1.0, 0.0, 0.0],), ([],)], "x array<double>")
     m, _, p = metrics.difficulty(F.col("x"))

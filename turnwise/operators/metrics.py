@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,30 +59,64 @@ def group_metrics(df: DataFrame, source: str, uid: str, value: str) -> DataFrame
     return per.groupBy(source, "n").agg(F.avg("m").alias("mean"), F.avg("s").alias("std"), F.count("*").alias("groups"))
 
 
-def bootstrap(values: list[float], labels: list[object], size: int, rounds: int = 1000, seed: int = 42) -> dict[str, float]:
-    """Mean over resamples (with replacement) of the best, the worst and the majority's first value, with one set of draws for all three."""
+@lru_cache(maxsize=64)
+def _all_draws(n: int, size: int, rounds: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(n, (rounds, size), replace=True)
+
+
+def _draws(n: int, size: int, rounds: int, seed: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """Draws of all rounds, in blocks of at most `most` places or labels; the same numbers whatever the blocks."""
+    if rounds * size <= 1 << 16 and rounds * max(n, size) <= most:
+        yield _all_draws(n, size, rounds, seed)
+        return
+    random, step = np.random.RandomState(seed), max(1, most // max(n, size))
+    for k in range(0, rounds, step):
+        yield random.choice(n, (min(step, rounds - k), size), replace=True)
+
+
+def resampled(values: list[float], labels: list[object], size: int, rounds: int = 1000, seed: int = 42) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation over resamples (with replacement) of the best, the worst and the majority's first value, with one set of draws for all three."""
     v = np.asarray(values, dtype=np.float64)
-    draws = np.random.RandomState(seed).choice(len(v), (rounds, size), replace=True)
-    codes = np.unique(np.array([str(x) for x in labels]), return_inverse=True)[1][draws]
-    # votes of each draw's label within its round; the first place among those with most votes
-    votes = (codes[:, :, None] == codes[:, None, :]).sum(axis=2)
-    majority = np.take_along_axis(v[draws], votes.argmax(axis=1)[:, None], 1)[:, 0]
-    return {"best": float(v[draws].max(axis=1).mean()), "worst": float(v[draws].min(axis=1).mean()), "majority": float(majority.mean())}
+    codes = np.unique(np.array([str(x) for x in labels]), return_inverse=True)[1]
+    kinds, out = int(codes.max()) + 1, {"best": [], "worst": [], "majority": []}
+    for draws in _draws(len(v), size, rounds, seed):
+        # votes of each draw's label within its round; the first place among those with most votes
+        cell = codes[draws] + np.arange(len(draws))[:, None] * kinds
+        votes = np.bincount(cell.ravel(), minlength=len(draws) * kinds)[cell]
+        drawn = v[draws]
+        out["best"].append(drawn.max(axis=1))
+        out["worst"].append(drawn.min(axis=1))
+        out["majority"].append(np.take_along_axis(drawn, votes.argmax(axis=1)[:, None], 1)[:, 0])
+    every = {k: np.concatenate(x) for k, x in out.items()}
+    return {k: (float(x.mean()), float(x.std())) for k, x in every.items()}
+
+
+def bootstrap(values: list[float], labels: list[object], size: int, rounds: int = 1000, seed: int = 42) -> dict[str, float]:
+    """The means of `resampled`."""
+    return {k: mean for k, (mean, _) in resampled(values, labels, size, rounds, seed).items()}
+
+
+def group_validation(values: list[float], labels: list[object]) -> dict[str, float]:
+    """Metrics of one group of N: mean@N; from two on std@N (of the population), and best@n, worst@n and maj@n, each /mean and /std, for n = 2, 4, ... below N and N itself."""
+    size = len(values)
+    out = {f"mean@{size}": float(np.mean(values))}
+    if size > 1:
+        out[f"std@{size}"] = float(np.std(values))
+        for n in [*(2**k for k in range(1, size.bit_length()) if 2**k < size), size]:
+            for k, (mean, std) in resampled(values, labels, n).items():
+                name = "maj" if k == "majority" else k
+                out |= {f"{name}@{n}/mean": mean, f"{name}@{n}/std": std}
+    return out
 
 
-def validation(df: DataFrame, source: str, uid: str, value: str, label: str, most: int = 16) -> DataFrame:
-    """source, metric, value: best@n, worst@n and maj@n for n = 2, 4, ... up to `most`, the means over a source's groups.
+def validation(df: DataFrame, source: str, uid: str, value: str, label: str) -> DataFrame:
+    """source, metric, value: the metrics of group_validation, the means over those of a source's groups that have them.
 
-    Groups are the responses to one prompt, a bounded number; larger groups are resampled at the same sizes. The
-    resampling runs where the group is, and only one row a group and metric is shuffled on."""
+    Groups are the responses to one prompt, of any size. The resampling runs where the group is, and only one row a
+    group and metric is shuffled on."""
     def one(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batch:
-            out = []
-            for s, vs, ls in zip(b["source"], b["vs"], b["ls"]):
-                n = 2
-                while n <= min(most, len(vs)):
-                    out += [(s, f"{k}@{n}", x) for k, x in bootstrap(list(vs), list(ls), n).items()]
-                    n *= 2
+            out = [(s, k, x) for s, vs, ls in zip(b["source"], b["vs"], b["ls"]) for k, x in group_validation(list(vs), list(ls)).items()]
             yield pd.DataFrame(out, columns=["source", "metric", "value"])
 
     groups = df.groupBy(F.col(source).alias("source"), uid).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(label).cast("string").alias("l")))).alias("x"))
@@ -89,4 +124,4 @@ def validation(df: DataFrame, source: str, uid: str, value: str, label: str, mos
     return lists.mapInPandas(one, "source string, metric string, value double").groupBy("source", "metric").agg(F.avg("value").alias("value"))
 
 
-__all__ = ["bootstrap", "correlation", "difficulty", "group_metrics", "majority_value", "mean_of_means", "reduce_by_name", "spread", "training_metrics", "validation"]
+__all__ = ["bootstrap", "correlation", "difficulty", "group_metrics", "group_validation", "majority_value", "mean_of_means", "reduce_by_name", "resampled", "spread", "training_metrics", "validation"]
