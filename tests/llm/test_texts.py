@@ -179,3 +179,13 @@ def test_record_edges(spark):
     df = spark.createDataFrame(rows, RECORDS)
     assert [tuple(r) for r in near_records.found(df).collect()] == [(1, 2)]
     assert {r.record_id: r.class_id for r in near_records.groups(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_leak_of_more_words_but_fewer_letters(spark):
+    short = "we saw the old man go by the sea at six on a hot day"
+    long_ = "extraordinarily complicated international negotiations concerning agricultural subsidies repeatedly demonstrated irreconcilable philosophical disagreements between governments"
+    assert len(short.split()) == 15 and len(long_.split()) == 14
+    items = spark.createDataFrame([(1, f"{short} while {long_} followed.")], "item_id long, text string")
+    df = spark.createDataFrame([(1, f"First {long_} ended. Then {short} again."), (2, f"First {short} again. Then {long_} ended."), (3, f"Only {long_} ended.")], "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.words) for r in leaks.leaks(df, items).collect()}
+    assert got == {1: (1, 15), 2: (1, 15)}

@@ -127,7 +127,7 @@ def _reach(a: np.ndarray, b: np.ndarray, edits: int) -> list[int]:
 
 
 def matches(codes: np.ndarray, x: Passages, q: int, stride: int, edits: int, words: int, letters: int) -> Iterator[tuple[int, int, int]]:
-    """passage id, aligned letters and whole words of the best stretch of each passage that lies in a document."""
+    """passage id, aligned letters and whole words of the best stretch of each passage that lies in a document: by letters where they are counted, else by words."""
     if len(codes) < q or not len(x.grams):
         return
     at = np.arange(0, len(codes) - q + 1, stride)
@@ -167,15 +167,17 @@ def matches(codes: np.ndarray, x: Passages, q: int, stride: int, edits: int, wor
             inner = x.word[s + a : s + b]
             cut = int(a > 0 and x.word[s + a - 1] == inner[0]) + int(s + b < e and x.word[s + b] == inner[-1])
             full = len(np.unique(inner)) - cut
-            if (b - a, full) > best.get(i, (0, 0)):
-                best[i] = (b - a, full)
-    for i, (length, full) in best.items():
-        if (length >= letters) if x.wide[i] else (full >= words):
+            rank = (b - a, full) if x.wide[i] else (full, b - a)
+            if rank > best.get(i, (0, 0)):
+                best[i] = rank
+    for i, rank in best.items():
+        if rank[0] >= (letters if x.wide[i] else words):
+            length, full = rank if x.wide[i] else rank[::-1]
             yield int(x.ids[i]), length, full
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", q: int = 12, stride: int = 4, edits: int = 0, words: int = 15, letters: int = 30, block: int = 2000) -> DataFrame:
-    """key, item key, letters and words of the longest stretch, for each document with `words` words in a row of a passage (`letters` letters and
+    """key, item key, letters and words of the best stretch (by what is counted), for each document with `words` words in a row of a passage (`letters` letters and
     digits where the passage is mostly of CJK characters), with at most `edits` edits.
 
     Case, spacing, punctuation and encoding do not count. Null and empty texts on either side match nothing; passages shorter than the bounds
