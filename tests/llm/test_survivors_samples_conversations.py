@@ -179,6 +179,17 @@ def test_conversation_edges(spark):
     assert conversations.found(df.limit(0)).count() == 0 and conversations.conversations(df.limit(0)).count() == 0
 
 
+def test_delivery_without_label_is_the_same_message(spark):
+    at = [T0 + dt.timedelta(seconds=k) for k in range(3)]
+    rows = [(k, 1, k, "user" if k == 0 else "assistant", f"m{k}", None, None, True, True, "w", at[k], T0, "s", 1, "k", 2) for k in range(2)]
+    again = [(7, 1, 1, "gpt", "m1", None, None, True, label, "v", at[1], at[2], "s", 1, "k", 2) for label in (None,)]
+    assert conversations.found(spark.createDataFrame(rows + again, ROW)).count() == 0
+    (whole,) = conversations.conversations(spark.createDataFrame(rows + again, ROW)).collect()
+    assert [m.content for m in whole.curr_messages] == ["m0", "m1"]
+    other = [(8, 1, 1, "gpt", "another", None, None, True, True, "v", at[1], at[2], "s", 1, "k", 2)]
+    assert conversations.found(spark.createDataFrame(rows + other, ROW)).count() == 1
+
+
 def test_long_conversation_is_spread(spark):
     rows = [(i, 1, i, "user" if i % 2 == 0 else "assistant", f"m{i}", None, None, True, None, "w", T0, T0, "s", 1, "k", 2) for i in range(30_000)]
     df = spark.createDataFrame(rows, ROW).repartition(8)

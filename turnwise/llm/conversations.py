@@ -37,8 +37,9 @@ def plain_role(role: Column) -> Column:
 def deliveries(rows: DataFrame) -> DataFrame:
     """One slim row for each message, however often it was delivered: the row with the smallest row_id stands for all.
 
-    Deliveries of one message are equal in everything but row_id, ingested_at, worker and the spelling of role.
-    Texts are compared by 128 bits of hash within (cid, turn_no, sent_at). Rows without cid belong to no conversation."""
+    Deliveries of one message are equal in everything but row_id, ingested_at, worker, the spelling of role and
+    is_en, a label that may be missing in one of them. Texts are compared by 128 bits of hash within
+    (cid, turn_no, sent_at). Rows without cid belong to no conversation."""
     body = [F.col(c) for c in ("content", "tool_usage", "tool_response")]
     role = plain_role(F.col("role"))
     calls = F.coalesce(F.size("tool_usage") > 0, F.lit(False))
@@ -47,9 +48,9 @@ def deliveries(rows: DataFrame) -> DataFrame:
         .when((role == "assistant") & calls, CALL).when(role == "assistant", ANSWER).otherwise(BAD)
     )
     slim = rows.where("cid IS NOT NULL").select(
-        "cid", "turn_no", "sent_at", "valid", "is_en", symbol.cast("tinyint").alias("symbol"), role.alias("role"), F.xxhash64(*body).alias("h1"), F.xxhash64(F.lit(7), *body).alias("h2"), "row_id"
+        "cid", "turn_no", "sent_at", "valid", symbol.cast("tinyint").alias("symbol"), role.alias("role"), F.xxhash64(*body).alias("h1"), F.xxhash64(F.lit(7), *body).alias("h2"), "row_id"
     )
-    return slim.groupBy("cid", "turn_no", "sent_at", "valid", "is_en", "symbol", "role", "h1", "h2").agg(F.min("row_id").alias("row_id"))
+    return slim.groupBy("cid", "turn_no", "sent_at", "valid", "symbol", "role", "h1", "h2").agg(F.min("row_id").alias("row_id"))
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -30,7 +30,7 @@ P5_FOUND = _P5 + "SELECT t.tag FROM t LEFT JOIN c USING (plain) WHERE coalesce(a
 P7_FOUND = f"""
 WITH r AS (SELECT *, CASE WHEN lower(trim(role)) IN ('user', 'human', 'customer', 'prompter') THEN 'u' WHEN lower(trim(role)) IN ('assistant', 'gpt', 'bot', 'model', 'ai', 'chatbot') THEN 'a'
              WHEN lower(trim(role)) IN ('tool', 'function', 'observation', 'obs', 'ipython', 'tool_response') THEN 't' ELSE 'x' END AS who FROM message_rows WHERE cid IS NOT NULL),
-d AS (SELECT cid, turn_no, who, content, tool_usage, tool_response, valid, is_en, sent_at, min(row_id) AS row_id FROM r GROUP BY ALL),
+d AS (SELECT cid, turn_no, who, content, tool_usage, tool_response, valid, sent_at, min(row_id) AS row_id FROM r GROUP BY ALL),
 s AS (SELECT *, CASE WHEN NOT {filled()} THEN 'x' WHEN who = 'a' AND coalesce(len(tool_usage), 0) > 0 THEN 'c' ELSE who END AS sym,
         turn_no - lag(turn_no) OVER (PARTITION BY cid ORDER BY turn_no NULLS LAST, sent_at NULLS FIRST, row_id) AS step FROM d),
 g AS (SELECT cid, bool_or(valid = false) AS refused, bool_or(step <> 1) AS jumps, count(turn_no) AS numbered, count(*) AS n, min(turn_no) AS first,
