@@ -85,8 +85,9 @@ def test_own_sightings_are_left_out_exactly(spark):
     all_ = ["The box is here. The box is there. The box", "A short one", "Please wait for the box.\n\n  \n And then\nwait 12 more days", "正在为您查询请稍候。好的，没问题，请您稍等一下好吗？谢谢", "The box is red and the box is blue, the box"]
     df = spark.createDataFrame([dialogue(1, *(("assistant", t) for t in all_[:2])), dialogue(None, (" Assistant ", all_[2]), ("user", "This is not an answer, so it does not count. Yes"), None, ("assistant", None)), dialogue(3, *(("assistant", f"{t}  ") for t in all_[3:])), (5, None, None, None, "t", 1, "m", 2)], DIALOGUE).repartition(3)
     model = pairs.fit_ends(df)
-    assert model.seen[0, 0] == sum(len(t) for t in all_ if len(t) > 20) and (model.seen[1:].sum(axis=1) == model.seen[0, 0]).all()
+    assert model.seen[0, 0] == sum(len(t) for t in all_ if len(t) > 20) and (model.seen[1:-1].sum(axis=1) == model.seen[0, 0]).all()
     assert model.ended[0, 0] == sum(len({len(t[: m.end()].rstrip()) for m in sentences.END.finditer(t)} | {len(t)}) for t in all_ if len(t) > 20) == 10 and (model.ended <= model.seen).all()
+    assert model.ended[-1].sum() == 2  # the lines that another line follows
     for k, t in enumerate(all_):
         others = pairs.EndModel.empty()
         for x in all_[:k] + all_[k + 1 :]:
@@ -96,6 +97,14 @@ def test_own_sightings_are_left_out_exactly(spark):
     assert pairs.fit_ends(df.limit(0)).seen.sum() == 0
 
 
+def test_whole_items_of_a_list_are_ends():
+    model = pairs.EndModel.empty()
+    model.add([f"Here is what the clerk found in week {i}.\n- K{i}-77: {i * 3}\n- 40-{i}: {i}\nPlease tell me which of the two you would rather have, thank you" for i in range(20)])
+    assert model.whole_line("The tool found these.\n- Z9-12: 41") and model.whole_line("x\n - aa_7: 8")
+    assert not any(model.whole_line(t) for t in ("The tool found these.\n- Z9-12", "The tool found these.\n- Z9-12:", "- Z9-12: 41", "One.\nPlease tell me", "One.\n", ""))
+    assert not pairs.is_cut("The clerk found this.\n- Z9-12: 41", model) and pairs.is_cut("The clerk found this.\n- Z9-12: 41, but then he took a wal", model)
+
+
 def test_repetition_measure():
     assert repetition.repeated_share("one two three four one two three four") == 0.5
     assert repetition.repeated_share("请稍候正在为您查询" * 4) == 0.75

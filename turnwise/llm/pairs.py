@@ -87,9 +87,12 @@ def fit_bayes(texts: list[str], labels: list[int], smooth: float = 0.3) -> Naive
     return model
 
 
-ENDS = 7
-
+#: The longest context in characters, and in words and signs from the start of a line; both at one level each.
+ENDS, LINE = 7, 8
+LEVELS = ENDS + 2
 
+_PIECES = regex.compile(r"[\p{L}\p{N}_-]*[\p{L}\p{N}_]|\s+|.", regex.DOTALL)
+_LETTERS_ONLY, _DIGITS_ONLY = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
 _CAPITALS, _DIGITS = regex.compile(r"\p{Lu}"), regex.compile(r"\d")
 
 
@@ -107,6 +110,22 @@ def _cells(shape: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield n, ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def _line_cells(line: str) -> tuple[list[int], bool]:
+    """The hashed shape of a line up to each of its first pieces (words as a, numbers as 0, codes as w, other signs as they are), and whether they are the whole line."""
+    cells, h, count = [], 0, 0
+    for m in _PIECES.finditer(line.rstrip()):
+        piece = m[0]
+        if piece.isspace():
+            continue
+        if count == LINE:
+            return cells, False
+        kind = "a" if _LETTERS_ONLY.fullmatch(piece) else "0" if _DIGITS_ONLY.fullmatch(piece) else "w" if len(piece) > 1 or piece.isalnum() else piece
+        h = ((h + ord(kind) + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        cells.append(((h * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF) >> (64 - BITS))
+        count += 1
+    return cells, True
+
+
 def _counts(text: str) -> bool:
     """Whether a text counts for the model of ends."""
     return len(text.strip()) > 20
@@ -114,17 +133,23 @@ def _counts(text: str) -> bool:
 
 @dataclass
 class EndModel:
-    """Counts of contexts (the last n characters, hashed) and of those at which a sentence, a line or a text ended."""
+    """Counts of contexts (the last n characters, hashed) and of those at which a sentence, a line or a text ended; the last level has the shapes of lines that another line follows."""
 
-    seen: np.ndarray  # (ENDS + 1) x 2^BITS
+    seen: np.ndarray  # LEVELS x 2^BITS
     ended: np.ndarray
 
     @classmethod
     def empty(cls) -> EndModel:
-        return cls(np.zeros((ENDS + 1, 1 << BITS), np.int64), np.zeros((ENDS + 1, 1 << BITS), np.int64))
+        return cls(np.zeros((LEVELS, 1 << BITS), np.int64), np.zeros((LEVELS, 1 << BITS), np.int64))
 
     def add(self, texts: list[str], block: int = 1 << 18) -> None:
         """Count the contexts and ends of texts without blanks at their ends, in blocks of about `block` characters."""
+        for text in texts:
+            for line in text.split("\n")[:-1]:
+                cells, whole = _line_cells(line)
+                np.add.at(self.seen[-1], cells, 1)
+                if whole and cells:
+                    self.ended[-1, cells[-1]] += 1
         start = 0
         while start < len(texts):
             end, size, stops = start, 0, []
@@ -155,6 +180,13 @@ class EndModel:
             p = (self.ended[n, at[-1]] - own * mine[stops].sum() + 2 * p) / (self.seen[n, at[-1]] - own * mine.sum() + 2)
         return float(p)
 
+    def whole_line(self, text: str, sightings: int = 10) -> bool:
+        """Whether the last of several lines has a shape at which most lines end, as the items of a list have."""
+        if "\n" not in text:
+            return False
+        cells, whole = _line_cells(text[text.rfind("\n") + 1 :])
+        return whole and bool(cells) and bool(self.seen[-1, cells[-1]] >= sightings and 2 * self.ended[-1, cells[-1]] > self.seen[-1, cells[-1]])
+
     def last(self, text: str) -> float:
         """The same from the last character alone, which few cut texts cannot blur."""
         with np.errstate(over="ignore"):
@@ -180,7 +212,7 @@ def _role(message: dict | None) -> str:
 
 
 def fit_ends(dialogues: DataFrame, messages: str = "curr_messages") -> EndModel:
-    """Count over all assistant texts. Each task sums in arrays of fixed size and hands on what isn't 0; at most (ENDS + 1) x 2^BITS sums reach the driver."""
+    """Count over all assistant texts. Each task sums in arrays of fixed size and hands on what isn't 0; at most LEVELS x 2^BITS sums reach the driver."""
     some = F.filter(messages, lambda m: F.lower(m["role"]).contains("assistant"))
     rows = dialogues.where(F.col(messages).isNotNull()).select(F.transform(some, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"))
 
@@ -277,6 +309,8 @@ def is_cut(content: str, ends: EndModel, least: float = 0.01) -> bool:
         return True
     if "<" in text and any(f"</{m[1].lower()}>" not in text[m.end() :].lower() for m in OPENERS.finditer(text)):
         return True
+    if ends.whole_line(text):
+        return False
     last = ends.last(text)
     if last > 0.8 and not _NUMBER_STOP.search(text[-2:]):  # a clear end sign, unless it may belong to a number as in a German date
         return False
