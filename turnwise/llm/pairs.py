@@ -89,7 +89,7 @@ def fit_bayes(texts: list[str], labels: list[int], smooth: float = 0.3) -> Naive
 
 #: The longest context in characters, and in words and signs from the start of a line; both at one level each.
 ENDS, LINE = 7, 8
-LEVELS = ENDS + 2
+LEVELS, CHUNK = ENDS + 2, 1 << 14
 
 _PIECES = regex.compile(r"[\p{L}\p{N}_-]*[\p{L}\p{N}_]|\s+|.", regex.DOTALL)
 _LETTERS_ONLY, _DIGITS_ONLY = regex.compile(r"\p{L}+"), regex.compile(r"\p{N}+")
@@ -212,7 +212,7 @@ def _role(message: dict | None) -> str:
 
 
 def fit_ends(dialogues: DataFrame, messages: str = "curr_messages") -> EndModel:
-    """Count over all assistant texts. Each task sums in arrays of fixed size and hands on what isn't 0; at most LEVELS x 2^BITS sums reach the driver."""
+    """Count over all assistant texts. Each task sums in arrays of fixed size and hands on what isn't 0; 2 x LEVELS x 2^BITS sums reach the driver."""
     some = F.filter(messages, lambda m: F.lower(m["role"]).contains("assistant"))
     rows = dialogues.where(F.col(messages).isNotNull()).select(F.transform(some, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("m"))
 
@@ -225,9 +225,22 @@ def fit_ends(dialogues: DataFrame, messages: str = "curr_messages") -> EndModel:
             at = cells[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(model.seen.flat[at], pa.int64()), pa.array(model.ended.flat[at], pa.int64())], ["cell", "seen", "ended"])
 
-    sums = rows.mapInArrow(count, "cell int, seen long, ended long").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended")).toArrow()  # bounded
-    model, at = EndModel.empty(), sums["cell"].to_numpy()
-    model.seen.flat[at], model.ended.flat[at] = sums["seen"].to_numpy(), sums["ended"].to_numpy()
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, cell, seen, ended = (b.column(k).to_numpy() for k in range(4))
+            for k in np.unique(chunk).tolist():
+                sums, mine = chunks.setdefault(k, np.zeros((2, CHUNK), np.int64)), chunk == k
+                for row, values in zip(sums, (seen, ended)):
+                    np.add.at(row, cell[mine] % CHUNK, values[mine])
+        for k, sums in chunks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["chunk", "sums"])
+
+    cells = rows.mapInArrow(count, "cell int, seen long, ended long").select(F.expr(f"cell div {CHUNK}").cast("int").alias("chunk"), "cell", "seen", "ended")
+    model = EndModel.empty()
+    for r in cells.repartition("chunk").mapInArrow(add_up, "chunk int, sums binary").collect():  # bounded
+        at = slice(r["chunk"] * CHUNK, (r["chunk"] + 1) * CHUNK)
+        model.seen.flat[at], model.ended.flat[at] = np.frombuffer(r["sums"], np.int64).reshape(2, CHUNK)
     return model
 
 
