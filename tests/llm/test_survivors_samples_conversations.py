@@ -61,6 +61,48 @@ def test_sources_are_told_apart(spark):
     assert len(facts) == 2 and survivors.survivors(df).where("cid = 500").first().snapshot_id == 1000
 
 
+def test_scalars_of_unreliable_sources_lose(spark):
+    """Without a valid row the later value of a source that is mostly wrong loses to the earlier one of a reliable source; the plain rule would take the latest."""
+    rows = [snap(i, i // 3, said(*(["t%d" % (i // 3), "u"] if i % 3 < 2 else ["lie%d" % i])), i % 3 == 0, worker=["good", "fair", "bad"][i % 3], plan="p%d" % (i // 3) if i % 3 < 2 else "wrong%d" % i) for i in range(60)]
+    rows += [snap(1000, 500, said("m"), False, worker="fair", plan="likely"), snap(1001, 500, said("m"), False, worker="bad", plan="unlikely", hours=9)]
+    got = survivors.survivors(spark.createDataFrame(rows, SNAPSHOT)).where("cid = 500").first()
+    assert got.plan == "likely" and got.tgt_turn_num == 4
+
+
+def test_pattern_model_equals_plain_expectation_maximization(spark):
+    rng = random.Random(5)
+    rows = [snap(i, rng.randrange(30), said(*(f"f{k}" for k in range(6) if rng.random() < 0.5)), rng.random() < 0.2, worker=f"w{rng.randrange(4)}") for i in range(150)]
+    r = survivors._rows(spark.createDataFrame(rows, SNAPSHOT), "cid", "snapshot_id", "worker")
+    got = {(x.key, x.fact): x.p for x in survivors.fact_truth(r, rounds=3).collect()}
+    said_by, covers, good = defaultdict(set), defaultdict(set), defaultdict(bool)
+    for x in r.collect():
+        covers[x.key].add(x.source)
+        for f in x.messages:
+            said_by[x.key, f].add(x.source)
+            good[x.key, f] |= x.good
+    quality = {s: (0.8, 0.9) for ss in covers.values() for s in ss}
+
+    def truth():
+        out = {}
+        for (k, f), ss in said_by.items():
+            o = 1.0
+            for s in covers[k]:
+                a, b = quality[s]
+                o *= a / (1 - b) if s in ss else (1 - a) / b
+            out[k, f] = 1.0 if good[k, f] else o / (1 + o)
+        return out
+
+    for _ in range(3):
+        p, sums = truth(), defaultdict(lambda: [0.0] * 4)
+        for (k, f), x in p.items():
+            for s in covers[k]:
+                hit = s in said_by[k, f]
+                for j, v in enumerate((x * hit, x, (1 - x) * hit, 1 - x)):
+                    sums[s][j] += v
+        quality = {s: ((a + 2) / (t + 3), 1 - (w + 1) / (n + 10)) for s, (a, t, w, n) in sums.items()}
+    assert got == pytest.approx(truth(), abs=1e-6)
+
+
 def test_hot_key(spark):
     rows = [snap(i, 1, said(str(i % 7), "b"), i % 2 == 0, hours=i) for i in range(300)]
     assert [tuple(r) for r in survivors.found(spark.createDataFrame(rows, SNAPSHOT)).collect()] == [(1, 298)]

@@ -8,9 +8,10 @@ true validity flag asserts is known to be true. The surviving value of the messa
 expected true messages among the rows with the best validity flag, the latest of those, then the one with the
 smallest id; scalar fields keep the latest valid value, and multi-valued fields keep every element judged true.
 
-The denials are never expanded: the log likelihood of a fact is the entity's sum over all its sources of
-"denied" plus a correction for each source that asserts it, so that every step is linear in the rows, and a
-hot entity is spread over (entity, fact).
+Only who asserts a fact and who reported on its entity matters for its probability. Facts are therefore counted by
+pattern (reporting sources, asserting sources, known to be true), and the rounds run over the patterns: their
+number follows the sets of sources, not the rows. Facts meet the model again by pattern. Scalar values are facts
+too: where no row of an entity is valid, the value most likely to be true survives.
 """
 
 from __future__ import annotations
@@ -36,90 +37,116 @@ def _message_facts(messages: Column) -> Column:
     return F.coalesce(F.transform(F.filter(placed, lambda x: x["filled"]), lambda x: x["fact"]), F.array().cast("array<bigint>"))
 
 
-def _rows(df: DataFrame, key: str, row_id: str, source: str) -> DataFrame:
+def _rows(df: DataFrame, key: str, row_id: str, source: str, scalars: Sequence[str] = ()) -> DataFrame:
     """The columns that the model needs, under its own names. Rows without a key belong to no group."""
+    elements = lambda name, values: F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(F.lit(name).alias("field"), v.cast("string").alias("value"), _fact(name, v.cast("string")).alias("fact")))
+    lists = [("tool", F.transform(F.col("tools"), lambda t: t["name"])), ("wrong_turn", F.col("possible_wrong_turns")), *((c, F.array(c)) for c in scalars)]
+    none = F.array().cast("array<struct<field:string,value:string,fact:bigint>>")
     return df.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.col(row_id).alias("row_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
+        F.col(key).alias("key"), F.col(row_id).alias("row_id"), F.xxhash64(F.coalesce(F.col(source).cast("string"), F.lit(""))).alias("source"),
         F.coalesce(F.col("valid"), F.lit(False)).alias("good"), F.col("snap_time").alias("at"), _message_facts(F.col("curr_messages")).alias("messages"),
-        F.coalesce(F.filter(F.transform(F.col("tools"), lambda t: t["name"]), lambda n: n.isNotNull()), F.array().cast("array<string>")).alias("tool"),
-        F.coalesce(F.filter(F.col("possible_wrong_turns").cast("array<string>"), lambda n: n.isNotNull()), F.array().cast("array<string>")).alias("wrong_turn"),
+        F.concat(*[F.coalesce(elements(name, values), none) for name, values in lists]).alias("elements"),
     )
 
 
-def fact_truth(rows: DataFrame, rounds: int = 4, prior: float = 0.5) -> DataFrame:
-    """key, field, value (null for messages), fact, p: the probability that each asserted fact is true, by expectation maximization."""
-    elements = lambda name: F.transform(F.col(name), lambda v: F.struct(F.lit(name).alias("field"), v.alias("value"), _fact(name, v).alias("fact")))
-    messages = F.transform(F.col("messages"), lambda h: F.struct(F.lit("message").alias("field"), F.lit(None).cast("string").alias("value"), h.alias("fact")))
-    claims = cut(
-        rows.select("key", "source", "good", F.explode(F.concat(messages, elements("tool"), elements("wrong_turn"))).alias("f"))
-        .groupBy("key", "source", F.col("f.fact").alias("fact"))
-        .agg(F.max("good").alias("good"), F.first("f.field").alias("field"), F.first("f.value").alias("value"))
-    )
-    covers = cut(rows.select("key", "source").distinct())
-    sources = covers.select("source").distinct().withColumns({"sens": F.lit(0.8), "spec": F.lit(0.9)})
-    for left in reversed(range(rounds)):
-        said = claims.join(sources, "source").groupBy("key", "fact").agg(
-            F.max("good").alias("good"), F.first("field").alias("field"), F.first("value").alias("value"),
-            F.sum(F.log(F.col("sens") / (1 - F.col("sens"))) + F.log(F.col("spec") / (1 - F.col("spec")))).alias("said"),
+def _beside(df: DataFrame, rows: int) -> DataFrame:
+    """For the right side of a join: broadcast only if a count shows at most `rows` rows, else merged."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
+def source_quality(patterns: DataFrame, rounds: int = 12, tolerance: float = 0.002, prior: float = 0.5) -> DataFrame:
+    """source, sens, spec: by expectation maximization over patterns (pattern, reporting, asserting, good, n), until no value moves by more than the tolerance."""
+    parts = cut(patterns.select("pattern", "good", "n", "asserting", F.explode("reporting").alias("source")).select("pattern", "good", "n", "source", F.array_contains("asserting", F.col("source")).alias("said")))
+    sources = parts.select("source").distinct().withColumns({"sens": F.lit(0.8), "spec": F.lit(0.9)})
+    for _ in range(rounds):
+        known = _beside(cut(sources), 1 << 16)
+        p = parts.join(known, "source").groupBy("pattern").agg(_truth(F.first("good"), F.sum(_weight(F.col("said"))), prior).alias("p"))
+        share = lambda part, whole, a, b: (F.sum(part) + a) / (F.sum(whole) + a + b)
+        true, false = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
+        new = parts.join(p.hint("merge"), "pattern").groupBy("source").agg(
+            share(F.when(F.col("said"), true).otherwise(0.0), true, 2, 1).alias("sens"), (1 - share(F.when(F.col("said"), false).otherwise(0.0), false, 1, 9)).alias("spec")
         )
-        base = covers.join(sources, "source").groupBy("key").agg(F.sum(F.log(1 - F.col("sens")) - F.log("spec")).alias("base"))
-        odds = F.lit(prior / (1 - prior)) * F.exp(F.least(F.greatest(F.col("said") + F.col("base"), F.lit(-500.0)), F.lit(500.0)))
-        facts = said.join(base, "key").select("key", "fact", "field", "value", F.when(F.col("good"), 1.0).otherwise(odds / (1 + odds)).alias("p"))
-        if not left:
-            return facts
-        facts = facts.select("key", "fact", "p")
-        totals = facts.groupBy("key").agg(F.sum("p").alias("true"), F.sum(1 - F.col("p")).alias("false"))
-        seen = covers.join(totals, "key").groupBy("source").agg(F.sum("true").alias("true"), F.sum("false").alias("false"))
-        hits = claims.select("key", "source", "fact").join(facts, ["key", "fact"]).groupBy("source").agg(F.sum("p").alias("hit"), F.sum(1 - F.col("p")).alias("wrong"))
-        share = lambda part, whole, a, b: (F.coalesce(part, F.lit(0.0)) + a) / (F.coalesce(whole, F.lit(0.0)) + a + b)
-        sources = cut(
-            seen.join(hits, "source", "left").select(
-                "source", share(F.col("hit"), F.col("true"), 2, 1).alias("sens"), (1 - share(F.col("wrong"), F.col("false"), 1, 9)).alias("spec")
-            )
-        )
-    raise ValueError("rounds must be at least 1")
+        new = cut(new)
+        moved = new.join(sources.select("source", F.col("sens").alias("s0"), F.col("spec").alias("s1")).hint("merge"), "source").agg(F.max(F.greatest(F.abs(F.col("sens") - F.col("s0")), F.abs(F.col("spec") - F.col("s1"))))).first()[0]
+        sources = new
+        if moved is None or moved <= tolerance:
+            break
+    return sources
+
+
+def _weight(said: Column) -> Column:
+    """What one source adds to the log odds of a fact that it reported on."""
+    return F.when(said, F.log(F.col("sens") / (1 - F.col("spec")))).otherwise(F.log((1 - F.col("sens")) / F.col("spec")))
+
+
+def _truth(good: Column, weight: Column, prior: float) -> Column:
+    odds = F.lit(prior / (1 - prior)) * F.exp(F.least(F.greatest(weight, F.lit(-500.0)), F.lit(500.0)))
+    return F.when(good, 1.0).otherwise(odds / (1 + odds))
+
+
+def fact_truth(rows: DataFrame, rounds: int = 12, prior: float = 0.5) -> DataFrame:
+    """key, field, value (null for messages), fact, p: the probability that each asserted fact is true."""
+    messages = F.transform(F.col("messages"), lambda h: F.struct(F.lit("message").alias("field"), F.lit(None).cast("string").alias("value"), h.alias("fact")))
+    claims = (
+        rows.select("key", "source", "good", F.explode(F.concat(messages, "elements")).alias("f")).groupBy("key", F.col("f.fact").alias("fact"))
+        .agg(F.max("good").alias("good"), F.first("f.field").alias("field"), F.first("f.value").alias("value"), F.array_sort(F.collect_set("source")).alias("asserting"))
+    )
+    covers = rows.groupBy("key").agg(F.array_sort(F.collect_set("source")).alias("reporting"))
+    facts = cut(claims.join(covers.hint("merge"), "key").withColumn("pattern", F.xxhash64("reporting", "asserting", "good")))
+    patterns = cut(facts.groupBy("pattern").agg(F.first("reporting").alias("reporting"), F.first("asserting").alias("asserting"), F.first("good").alias("good"), F.count("*").alias("n")))
+    sources = _beside(source_quality(patterns, rounds, prior=prior), 1 << 16)
+    parts = patterns.select("pattern", "good", "asserting", F.explode("reporting").alias("source")).join(sources, "source").withColumn("said", F.array_contains("asserting", F.col("source")))
+    p = cut(parts.groupBy("pattern").agg(_truth(F.first("good"), F.sum(_weight(F.col("said"))), prior).alias("p")))
+    return facts.select("key", "field", "value", "fact", "pattern").join(_beside(p, 1 << 20), "pattern").drop("pattern")
 
 
 def surviving_rows(rows: DataFrame, facts: DataFrame) -> DataFrame:
     """key, row_id, n_rows, any_good, expected: the row that gives each key's message list."""
     truths = facts.where("field = 'message'").select("key", "fact", "p")
-    scores = rows.select("key", "row_id", F.explode("messages").alias("fact")).join(truths, ["key", "fact"]).groupBy("row_id").agg(F.sum("p").alias("expected"))
+    scores = rows.select("key", "row_id", F.explode("messages").alias("fact")).join(truths.hint("merge"), ["key", "fact"]).groupBy("row_id").agg(F.sum("p").alias("expected"))
     order = F.struct("good", F.round("expected", 6).alias("expected"), "at", (-F.col("row_id")).alias("low"))
     return (
-        rows.select("key", "row_id", "good", "at").join(scores, "row_id", "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+        rows.select("key", "row_id", "good", "at").join(scores.hint("merge"), "row_id", "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
         .groupBy("key").agg(F.count("*").alias("n_rows"), F.max("good").alias("any_good"), F.max(order).alias("best"))
         .select("key", (-F.col("best.low")).alias("row_id"), "n_rows", "any_good", F.col("best.expected").alias("expected"))
     )
 
 
-def survivors(df: DataFrame, key: str = "cid", row_id: str = "snapshot_id", source: str = "worker", scalars: Sequence[str] = SCALARS, rounds: int = 4) -> DataFrame:
+def survivors(df: DataFrame, key: str = "cid", row_id: str = "snapshot_id", source: str = "worker", scalars: Sequence[str] = SCALARS, rounds: int = 12) -> DataFrame:
     """One surviving record per key.
 
     key, the id of the row that gave curr_messages, curr_messages, n_rows, any_valid, expected_messages, each
-    scalar field (latest non-null value of a valid row, else of any row; ties go to the smallest id) and
-    tool_names and possible_wrong_turns (every element judged true, sorted; empty if none).
+    scalar field (latest non-null value of a valid row; without a valid row the value most likely to be true, of
+    equals the latest; then ties go to the smallest id) and tool_names and possible_wrong_turns (every element
+    judged true, sorted; empty if none).
 
     Rows with a null key are left out. Null or empty message lists, null sources, flags and times are allowed:
     such rows lose to fuller, valid, dated ones. Row ids must be unique; other columns of `df` are ignored.
     An empty table gives an empty result.
     """
-    rows = cut(_rows(df, key, row_id, source))
+    rows = cut(_rows(df, key, row_id, source, scalars))
     facts = fact_truth(rows, rounds)
     best = surviving_rows(rows, facts)
-    order = F.struct(F.coalesce("valid", F.lit(False)), F.col("snap_time"), -F.col(row_id))
-    fields = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in scalars])
-    judged = facts.where("field <> 'message' AND p >= 0.5").groupBy("key").agg(
+    # values of valid rows have p = 1, so that the order is: valid, likely, late, small id
+    stated = rows.select("key", "row_id", "good", "at", F.explode(F.filter("elements", lambda e: e["field"].isin(*scalars))).alias("e")).select("key", "row_id", "good", "at", "e.field", "e.fact")
+    believed = facts.where(F.col("field").isin(*scalars)).select("key", "fact", F.round("p", 6).alias("p"))
+    order = F.struct("good", "p", "at", (-F.col("row_id")).alias("low"))
+    chosen = stated.join(believed.hint("merge"), ["key", "fact"]).groupBy("key", "field").agg(F.max(order)["low"].alias("low"))
+    values = df.where(F.col(key).isNotNull()).select((-F.col(row_id)).alias("low"), F.posexplode(F.array(*[F.col(c).cast("string") for c in scalars])).alias("place", "text"))
+    named = chosen.join(values.withColumn("field", F.element_at(F.array(*map(F.lit, scalars)), F.col("place") + 1)).hint("merge"), ["low", "field"])
+    fields = named.groupBy("key").agg(*[F.max(F.when(F.col("field") == c, F.col("text"))).cast(df.schema[c].dataType).alias(c) for c in scalars])
+    judged = facts.where(F.col("field").isin("tool", "wrong_turn") & (F.col("p") >= 0.5)).groupBy("key").agg(
         F.array_sort(F.collect_set(F.when(F.col("field") == "tool", F.col("value")))).alias("tool_names"),
         F.array_sort(F.collect_set(F.when(F.col("field") == "wrong_turn", F.col("value").cast("int")))).alias("possible_wrong_turns"),
     )
     lists = df.where(F.col(key).isNotNull()).select(F.col(row_id).alias("row_id"), "curr_messages")
     return (
-        best.join(lists, "row_id").join(fields, "key").join(judged, "key", "left")
+        lists.join(best.hint("merge"), "row_id").join(fields.hint("merge"), "key", "left").join(judged.hint("merge"), "key", "left")
         .select(F.col("key").alias(key), F.col("row_id").alias(row_id), "curr_messages", "n_rows", F.col("any_good").alias("any_valid"), F.col("expected").alias("expected_messages"), *scalars, F.coalesce("tool_names", F.array().cast("array<string>")).alias("tool_names"), F.coalesce("possible_wrong_turns", F.array().cast("array<int>")).alias("possible_wrong_turns"))
     )
 
 
-def found(df: DataFrame, key: str = "cid", row_id: str = "snapshot_id", source: str = "worker", rounds: int = 4) -> DataFrame:
+def found(df: DataFrame, key: str = "cid", row_id: str = "snapshot_id", source: str = "worker", rounds: int = 12) -> DataFrame:
     """key and row id of the surviving message list, for keys with two or more rows and a valid one."""
     rows = cut(_rows(df, key, row_id, source))
     best = surviving_rows(rows, fact_truth(rows, rounds))
