@@ -61,9 +61,9 @@ def _find(table: Column, key: Column) -> Column:
     return F.element_at(F.get(table, (F.crc32(key.cast("binary")) % BUCKETS).cast("int")), key)
 
 
-def _with(tables: Column, use: Callable[[Column], Column]) -> Column:
-    """`use` of the tables, bound to a variable so that the plan holds the literal once."""
-    return F.get(F.transform(F.array(tables), use), F.lit(0))
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is bound to a variable, so that it stands in the plan, and is computed, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def cuts(ranks: Mapping[bytes, int]) -> str:
@@ -78,31 +78,45 @@ def cuts(ranks: Mapping[bytes, int]) -> str:
     return "|".join(parts) or r"\z(?!\z)"
 
 
+#: Stands at a cut; no byte's character.
+MARK = "\u0100"
+
+
+def _pieces(word: Column, cut: str) -> Column:
+    """A byte string at its cuts. The marks are set first: a replacement keeps its compiled pattern, a split does not."""
+    return F.split(F.regexp_replace(word, cut, MARK), MARK)
+
+
 def _fold(piece: Column, table: Column) -> Column:
     """The tokens of a byte string that is no token itself, by ranked merges."""
     rank = lambda left, right: F.get(_find(table, F.concat(left, right)), F.lit(0))
-    single = F.filter(F.split(piece, ""), lambda c: c != "")
-    start = F.struct(single.alias("parts"), F.transform(single, lambda c, i: rank(c, F.get(single, i + 1))).alias("ranks"))
+    start = lambda single: F.struct(single.alias("parts"), F.transform(single, lambda c, i: rank(c, F.get(single, i + 1))).alias("ranks"))
 
-    def merge(state: Column, _: Column) -> Column:
+    def merged_at(state: Column, at: Column) -> Column:
         parts, ranks = state["parts"], state["ranks"]
-        at = F.array_position(ranks, F.array_min(ranks)).cast("int")
         part = lambda k: F.get(parts, at + (k - 1))
-        joined = F.concat(part(0), part(1))
-        tail = F.slice(parts, at + 2, F.size(parts))
-        new = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), tail)
-        before = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(part(-1), joined)))).otherwise(F.array().cast(IDS))
-        return F.when(at.isNull() | (at < 1), state).otherwise(
-            F.struct(new.alias("parts"), F.concat(before, F.array(rank(joined, part(2))), F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"))
-        )
+        none = F.array().cast(IDS)
+
+        def with_joined(joined: Column) -> Column:
+            new = F.concat(F.slice(parts, F.lit(1), at - 1), F.array(joined), F.slice(parts, at + 2, F.size(parts)))
+            before = F.when(at > 1, F.concat(F.slice(ranks, F.lit(1), at - 2), F.array(rank(part(-1), joined)))).otherwise(none)
+            return F.struct(new.alias("parts"), F.concat(before, F.array(rank(joined, part(2))), F.slice(ranks, at + 2, F.size(ranks))).alias("ranks"))
+
+        return _with(F.concat(part(0), part(1)), with_joined)
+
+    def merge(state: Column, _: Column) -> Column:
+        at = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")
+        return _with(at, lambda at: F.when(at.isNull() | (at < 1), state).otherwise(merged_at(state, at)))
+
+    def folded(single: Column) -> Column:
+        end = F.aggregate(F.slice(single, 2, F.size(single)), start(single), merge)  # a step for each pair, at most
+        return F.transform(end["parts"], lambda p: F.get(_find(table, p), F.lit(0)))
 
-    end = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(piece), F.lit(2))), start, merge)
-    return F.transform(end["parts"], lambda p: F.get(_find(table, p), F.lit(0)))
+    return _with(F.transform(F.sequence(F.lit(1), F.length(piece)), lambda i: F.substring(piece, i, F.lit(1))), folded)
 
 
-#: A run of this many characters of one kind may be a word whose fold would be long: such texts take the heap instead.
-LONG_RUN = 200
-_LONG = rf"(?U)\p{{L}}{{{LONG_RUN}}}|\p{{N}}{{{LONG_RUN}}}|[^\s\p{{L}}\p{{N}}]{{{LONG_RUN}}}|\s{{{LONG_RUN}}}"
+#: The fold of a word of this many characters would be long: its text takes the heap instead.
+LONG_WORD = 200
 _WORDS_PY = regex.compile(WORDS.removeprefix("(?U)"))
 
 
@@ -146,8 +160,8 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", vocabulary: st
     """`df` with the token ids of the text (array<int>), without special tokens; strings that spell special tokens are ordinary text.
 
     Null and empty texts have no ids: an empty array. Texts of any length are encoded whole. Other columns pass unchanged;
-    a column named as `into` is replaced. Texts with a run of LONG_RUN letters, digits, marks or blanks, whose fold would be long, are merged
-    with a heap in Python, with the same result."""
+    a column named as `into` is replaced. Texts with a word of LONG_WORD characters are merged with a heap in Python, with the
+    same result: the fold's work grows as the square of a word's length."""
     ranks = read_ranks(vocabulary)
     cut = cuts(ranks)
     words = _valid_words(ranks)
@@ -167,17 +181,19 @@ def encoded(df: DataFrame, text: str = "text", into: str = "ids", vocabulary: st
     def all_ids(tables: Column) -> Column:
         known, token, more = (F.get(tables, F.lit(k)) for k in range(3))
         piece = lambda p: F.coalesce(_find(token, p), _find(more, p), _fold(p, token))
-        word = lambda w: F.coalesce(_find(known, w), F.flatten(F.transform(F.split(_bytes(w), cut), piece)))
-        return F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), word))
+        fold = lambda w: F.when(F.length(w) < LONG_WORD, F.flatten(F.transform(_pieces(_bytes(w), cut), piece)))
+        word = lambda w: F.coalesce(_find(known, w), fold(w))
+        return F.flatten(F.transform(F.regexp_extract_all(F.col(text), F.lit(WORDS), F.lit(0)), word))  # null if any word has no ids
 
     @F.pandas_udf(IDS)
     def long_ids(texts: pd.Series) -> pd.Series:
         ranks = read_ranks(vocabulary)
         return texts.map(lambda t: [i for w in _WORDS_PY.findall(t) for i in merged(w.encode(), ranks)], na_action="ignore")
 
-    ids = _with(_literal_tables(words, pieces, folded), all_ids)
-    long = df.withColumn("_long_ids", long_ids(F.when(F.col(text).rlike(_LONG), F.col(text))))  # null for all but the rare long ones
-    return long.withColumn(into, F.when(F.coalesce(F.length(text) > 0, F.lit(False)), F.coalesce("_long_ids", F.when(F.col("_long_ids").isNull(), ids))).otherwise(F.array().cast(IDS))).drop("_long_ids")
+    some = F.coalesce(F.length(text) > 0, F.lit(False))
+    both = df.withColumn("_ids", _with(_literal_tables(words, pieces, folded), all_ids))  # null for texts with a long word
+    both = both.withColumn("_long_ids", long_ids(F.when(some & F.col("_ids").isNull(), F.col(text))))
+    return both.withColumn(into, F.when(some, F.coalesce("_ids", "_long_ids")).otherwise(F.array().cast(IDS))).drop("_ids", "_long_ids")
 
 
 def decoded(df: DataFrame, ids: str = "ids", into: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
