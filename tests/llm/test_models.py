@@ -105,6 +105,46 @@ def test_whole_items_of_a_list_are_ends():
     assert not pairs.is_cut("The clerk found this.\n- Z9-12: 41", model) and pairs.is_cut("The clerk found this.\n- Z9-12: 41, but then he took a wal", model)
 
 
+def brute_share(text):
+    """The rule, one window after the other."""
+    import unicodedata
+
+    import regex
+
+    words = regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}]|(?:(?![\p{Han}\p{Hiragana}\p{Katakana}])[\p{L}\p{M}])+", regex.sub(r"\p{N}+", "", unicodedata.normalize("NFKC", text or "").casefold()))
+    weight = [1 if regex.fullmatch(r"[\p{Han}\p{Hiragana}\p{Katakana}]", w) else 2 for w in words]
+    seen, again = set(), [False] * len(words)
+    for i in range(len(words)):
+        j = i
+        while j < len(words) and sum(weight[i:j]) < 6:
+            j += 1
+        if sum(weight[i:j]) >= 6:
+            if tuple(words[i:j]) in seen:
+                again[i:j] = [True] * (j - i)
+            seen.add(tuple(words[i:j]))
+    total = sum(map(len, words))
+    return sum(len(w) for w, a in zip(words, again) if a) / total if total else 0.0
+
+
+def test_repetition_of_whole_batches_equals_the_rule(spark):
+    rng = np.random.default_rng(8)
+    vocabulary = ["a", "bb", "ccc", "查", "询", "ß", "1", "x9y", "ド", "...", "\n", "。", "\0", "é"]
+    texts = ["", " ", "12 34", "查询"] + [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(200)] + ["".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(200)]
+    x, share = repetition.statistics(texts)
+    assert np.allclose(share, [brute_share(t) for t in texts]) and np.isfinite(x).all() and (x[:, 1:] >= 0).all() and (x[:, 1:] <= 1).all()
+    alone = [repetition.statistics([t]) for t in texts[:40]]
+    assert np.allclose(np.concatenate([a for a, _ in alone]), x[:40])
+    real = [m.content for r in table(spark, SMALL, "dialogues").collect() for m in r.curr_messages or [] if m and m.content]
+    assert np.allclose(repetition.statistics(real)[1], [brute_share(t) for t in real])
+    assert repetition.statistics([])[0].shape == (0, len(repetition.FEATURES))
+
+
+def test_samples_do_not_depend_on_the_layout(spark):
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'en' WHEN id % 3 = 0 THEN 'zh' END AS lang", "concat('t', id) AS text")
+    a, b = (sentences.lowest(x, "id", 40, "lang", sentences.LANGS) for x in (df.repartition(7), df.orderBy("id").coalesce(1)))
+    assert a == b and len(a) == 80 and len(sentences.lowest(df.limit(20), "id", 40)) == 20 and sentences.lowest(df.limit(0), "id", 40) == []
+
+
 def test_repetition_measure():
     assert repetition.repeated_share("one two three four one two three four") == 0.5
     assert repetition.repeated_share("请稍候正在为您查询" * 4) == 0.75
@@ -132,7 +172,7 @@ def test_repetition_found(spark):
     big = table(spark, SMALL, "dialogues").select("cid", "curr_messages", "is_en", "possible_wrong_turns")
     df = spark.createDataFrame(rows, DIALOGUE).unionByName(big, allowMissingColumns=True)
     got = {tuple(r) for r in repetition.found(df).collect()}
-    brute = {(r.cid, i) for r in df.collect() for i, m in enumerate(r.curr_messages or [], 1) if m and repetition.repeated_share(m.content) >= 0.5}
+    brute = {(r.cid, i) for r in df.collect() for i, m in enumerate(r.curr_messages or [], 1) if m and brute_share(m.content) >= 0.5}
     assert got == brute and {(1, 2), (2, 1)} <= got
     assert repetition.found(df.limit(0)).count() == 0
 
@@ -144,6 +184,6 @@ def test_repetition_share_of_every_message(spark):
     big = table(spark, SMALL, "dialogues").select("cid", "curr_messages", "is_en", "possible_wrong_turns")
     for df in (spark.createDataFrame(rows, DIALOGUE).unionByName(big, allowMissingColumns=True), spark.createDataFrame(bare + rows, DIALOGUE).coalesce(1)):
         got = {(r.cid, r.turn_no): r.repeated for r in repetition.shares(df).collect()}
-        assert got == {(r.cid, i): repetition.repeated_share(m.content) for r in df.collect() for i, m in enumerate(r.curr_messages or [], 1) if m and m.content}
+        assert got == {(r.cid, i): pytest.approx(brute_share(m.content)) for r in df.collect() for i, m in enumerate(r.curr_messages or [], 1) if m and m.content}
         assert 0 < got[1, 2] < 0.5 and 0 < got[2, 1] < 0.5 and got[1, 1] == got[2, 2] == 0.0
         assert {tuple(r) for r in repetition.found(df).collect()} == {k for k, x in got.items() if x >= 0.5} and got[3, 2] > 0.5

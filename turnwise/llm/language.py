@@ -158,10 +158,9 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     return train(*rows([texts[k] for k in keep], [labels[k] for k in keep]), rounds=3, seed=seed)
 
 
-def english(dialogues: DataFrame, messages: str = "curr_messages", dialogues_at_most: int = 300) -> DataFrame:
-    """text, lang of a bounded number of dialogues that are labelled as English: their contents, a line each."""
-    some = dialogues.where("is_en").limit(dialogues_at_most)
-    return some.select(F.array_join(F.transform(messages, lambda m: m["content"]), "\n").alias("text"), F.lit("en").alias("lang"))
+def english(dialogues: DataFrame, messages: str = "curr_messages") -> DataFrame:
+    """cid, text, lang of the dialogues that are labelled as English: their contents, a line each."""
+    return dialogues.where("is_en").select("cid", F.array_join(F.transform(messages, lambda m: m["content"]), "\n").alias("text"), F.lit("en").alias("lang"))
 
 
 def segments(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "curr_messages", docs_a_language: int = 300, sentences_a_language: int = 2000) -> DataFrame:
@@ -170,7 +169,7 @@ def segments(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "
     start and end are places in the content; neighbouring sentences of one language are separate parts. Messages without
     prose (empty, null, code, codes, placeholders) have no row. Contents of any length are judged to their end. Rows with a
     null cid or null messages have no row. The network is trained on a bounded sample of tables with text and lang."""
-    own = english(dialogues, messages, docs_a_language)
+    own = english(dialogues, messages)
     net = fit(*labelled(*labelled_texts, own, docs_a_language=docs_a_language, sentences_a_language=sentences_a_language))
     spark = dialogues.sparkSession
     share = spark.sparkContext.broadcast(net)

@@ -5,17 +5,16 @@ of at least three words, or six CJK characters, that stood earlier in the same m
 the letters in such runs over all letters.
 
 Messages are scored by gradient-boosted trees over statistics of the message. The trees are grown here, on a
-bounded sample, with monotonic constraints (more repetition never lowers the score), and flattened into node
+bounded sample (the dialogues whose keys hash lowest), with monotonic constraints (more repetition never lowers the score), and flattened into node
 arrays, so that a batch is scored by a few array look-ups for each level. The score chooses nothing: the share of
 every message is measured exactly, from the same tokens as its statistics.
 """
 
 from __future__ import annotations
 
-import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,80 +22,108 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}--[\p{Han}\p{Hiragana}\p{Katakana}]]+", regex.V1)
-DIGITS = regex.compile(r"\p{N}+")
-_BASE = 0x9E3779B97F4A7C15
-FULL = 6  # a window must reach this weight: a word weighs 2, a CJK character 1
+from turnwise.llm.runs import blocks, grouped, joined, kinds, shake, split_words
+from turnwise.llm.sentences import lowest
 
-
-def _tokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, letters and weight of each token."""
-    words = TOKEN.findall(DIGITS.sub("", unicodedata.normalize("NFKC", text).casefold()))
-    n = len(words)
-    codes = np.fromiter((zlib.crc32(w.encode()) + 1 for w in words), np.uint64, n)
-    letters = np.fromiter(map(len, words), np.int64, n)
-    weight = np.fromiter((1 if len(w) == 1 and ord(w) >= 0x2E80 else 2 for w in words), np.int64, n)
-    return codes, letters, weight
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+FULL = 6  # a window must reach this weight: a word weighs 2, a character of a script without blanks 1
+#: Signs at which a sentence or line ends.
+STOPS = tuple(map(ord, ".!?。！？\n"))
+FEATURES = ("tokens", "distinct_tokens", "distinct_pairs", "distinct_triples", "repeated_tokens", "distinct_windows", "repeated_lines", "top_token")
+#: Direction in which a feature may move the score: 1 up, -1 down, 0 either way.
+DIRECTION = (0, -1, -1, -1, 1, -1, 1, 0)
 
 
-def _repeated(codes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which tokens lie in a shortest full window that began earlier in the message, too."""
-    n = len(codes)
-    out = np.zeros(n, dtype=bool)
+@cache
+def _digits() -> np.ndarray:
+    """Whether a code point is a digit or another number."""
+    out = np.zeros(0x110000, bool)
+    low, high = (np.arange(a, b, dtype=np.uint32).tobytes().decode("utf-32-le") for a, b in ((0, 0xD800), (0xE000, 0x110000)))
+    for text, base in ((low, 0), (high, 0xE000)):
+        for m in regex.finditer(r"\p{N}+", text):
+            out[base + m.start() : base + m.end()] = True
+    return out
+
+
+def _again(value: np.ndarray, text: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which values stood earlier in the same text, and each text's number of distinct values and of the commonest one."""
+    if not len(value):
+        return np.zeros(0, bool), np.zeros(count, np.int64), np.zeros(count, np.int64)
+    order = grouped(value, text, count)
+    # equal values of a text are together, but not in order: the earliest of each group is the first
+    v, t = value[order], text[order]
+    first = np.r_[True, (v[1:] != v[:-1]) | (t[1:] != t[:-1])]
+    group = np.cumsum(first) - 1
+    earliest = np.minimum.reduceat(order, np.flatnonzero(first))
+    again = np.ones(len(value), bool)
+    again[earliest] = False
+    most = np.zeros(count, np.int64)
+    np.maximum.at(most, t[first], np.bincount(group))
+    return again, np.bincount(t[first], minlength=count), most
+
+
+def _measured(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of each text and its repeated share, for a block of texts at once."""
+    count = len(texts)
+    c = joined(texts)
+    c = c[~_digits()[c]]
+    kind = kinds()[c]
+    start, end, value = split_words(c, kind)
+    text = np.searchsorted(np.flatnonzero(c == 0), start, side="left")
+    letters, weight = end - start, np.where(kind[start] == 2, 1, 2)
+    n = np.bincount(text, minlength=count)
+    over = np.maximum(n, 1)
+    # the shortest full window from each token on, if it ends in the same text
     before = np.concatenate([[0], np.cumsum(weight)])
-    end = np.searchsorted(before, before[:-1] + FULL)  # of the shortest window that starts at each token
-    starts = np.flatnonzero(end <= n)
-    if not len(starts):
-        return out
-    end = end[starts]
-    length = end - starts
-    h = np.zeros(len(starts), dtype=np.uint64)
-    for k in range(int(length.max())):
-        on = k < length
-        h[on] = (h[on] + codes[starts[on] + k]) * np.uint64(_BASE)
-        h[on] ^= h[on] >> np.uint64(29)
-    order = np.argsort(h, kind="stable")
-    again = np.r_[False, h[order][1:] == h[order][:-1]]
-    later = order[again]
-    change = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(change, starts[later], 1)
-    np.add.at(change, end[later], -1)
-    return np.cumsum(change[:-1]) > 0
+    stop = np.searchsorted(before, before[:-1] + FULL)
+    last = np.cumsum(n)[text]  # first token of the next text
+    at = np.flatnonzero(stop <= last)
+    length = stop[at] - at
+    h = np.zeros(len(at), np.uint64)
+    for k in range(FULL):
+        on = np.flatnonzero(length > k)
+        h[on] = shake((h[on] + value[at[on] + k]) * _BASE)
+    again, windows, _ = _again(h, text[at], count)
+    change = np.zeros(len(start) + 1, np.int64)
+    np.add.at(change, at[again], 1)
+    np.add.at(change, stop[at][again], -1)
+    repeated = np.cumsum(change[:-1]) > 0
+    total = np.bincount(text, letters, count)
+    share = np.where(total > 0, np.bincount(text[repeated], letters[repeated], count) / np.maximum(total, 1), 0.0)
+
+    _, tokens, top = _again(value, text, count)
+    same2 = text[1:] == text[:-1] if len(text) else np.zeros(0, bool)
+    pairs = shake((shake(value[:-1] * _BASE) + value[1:]) * _BASE)
+    same3 = same2[1:] & same2[:-1]
+    triples = shake((pairs[:-1] + value[2:]) * _BASE)
+    distinct = lambda v, t: _again(v, t, count)[1] / np.maximum(np.bincount(t, minlength=count), 1) + (np.bincount(t, minlength=count) == 0)
+    # a line is the sum of its words' values by their places in it; short ones don't count
+    line = np.searchsorted(np.flatnonzero(np.isin(c, (0, *STOPS))), start, side="left")
+    head = np.r_[True, line[1:] != line[:-1]] if len(line) else np.zeros(0, bool)
+    heads = np.flatnonzero(head)
+    place = np.arange(len(line)) - np.repeat(heads, np.diff(np.r_[heads, len(line)])) if len(line) else line
+    sums = np.add.reduceat(shake(value + place.astype(np.uint64) * _BASE), heads) if len(heads) else np.zeros(0, np.uint64)
+    size = np.add.reduceat(letters, heads) if len(heads) else np.zeros(0, np.int64)
+    lines_of = text[heads][size > 3]
+    lines = np.bincount(lines_of, minlength=count)
+    repeats = np.where(lines > 0, 1 - _again(sums[size > 3], lines_of, count)[1] / np.maximum(lines, 1), 0.0)
+    x = np.stack(
+        [n, np.where(n > 0, tokens / over, 1.0), distinct(pairs[same2], text[1:][same2]), distinct(triples[same3], text[2:][same3]), np.bincount(text[repeated], minlength=count) / over, np.where(np.bincount(text[at], minlength=count) > 0, windows / np.maximum(np.bincount(text[at], minlength=count), 1), 1.0), repeats, top / over], axis=1
+    )
+    return x.astype(np.float64), share
+
+
+def statistics(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of each text and its repeated share, in blocks of bounded size but for texts that are longer themselves."""
+    parts = [_measured(texts[a:b]) for a, b in blocks(texts)]
+    if not parts:
+        return np.zeros((0, len(FEATURES))), np.zeros(0)
+    return np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts])
 
 
 def repeated_share(text: str | None) -> float:
     """Share of letters in repeated runs; 0 for texts without letters."""
-    if not text:
-        return 0.0
-    codes, letters, weight = _tokens(text)
-    return _share(letters, _repeated(codes, weight))
-
-
-def _share(letters: np.ndarray, repeated: np.ndarray) -> float:
-    total = letters.sum()
-    return float(letters[repeated].sum() / total) if total else 0.0
-
-
-FEATURES = ("tokens", "distinct_tokens", "distinct_pairs", "distinct_triples", "repeated_tokens", "packed", "repeated_lines", "top_token")
-#: Direction in which a feature may move the score: 1 up, -1 down, 0 either way.
-DIRECTION = (0, -1, -1, -1, 1, -1, 1, 0)
-
-
-def statistics(text: str) -> tuple[np.ndarray, float]:
-    """The features of a text and its repeated_share."""
-    codes, letters, weight = _tokens(text)
-    n = len(codes)
-    if not n:
-        return np.array([0, 1, 1, 1, 0, 1, 0, 0], dtype=np.float64), 0.0
-    repeated = _repeated(codes, weight)
-    pairs = codes[:-1] * np.uint64(_BASE) + codes[1:]
-    triples = pairs[:-1] * np.uint64(_BASE) + codes[2:]
-    share = lambda a: len(np.unique(a)) / len(a) if len(a) else 1.0
-    lines = [x.strip() for x in regex.split(r"[.!?。！？\n]+", DIGITS.sub("", text)) if len(x.strip()) > 3]
-    raw = text.encode()
-    _, count = np.unique(codes, return_counts=True)
-    x = np.array([n, share(codes), share(pairs), share(triples), repeated.mean(), min(1.5, len(zlib.compress(raw, 1)) / len(raw)), 1 - len(set(lines)) / len(lines) if lines else 0.0, count.max() / n])
-    return x, _share(letters, repeated)
+    return float(statistics([text])[1][0]) if text else 0.0
 
 
 @dataclass
@@ -185,8 +212,8 @@ def fit(texts: list[str], least: float = 0.5) -> Trees:
         joint = " " if " " in t else ""
         more.append(joint.join([*words, *(part * int(rng.integers(1, 9)))]))
     every = [t for t in [*texts, *more] if t.strip()]
-    both = [statistics(t) for t in every] or [(np.zeros(len(FEATURES)), 0.0)]
-    return grow(np.stack([x for x, _ in both]), np.array([y >= least for _, y in both], dtype=np.float64))
+    x, y = statistics(every) if every else (np.zeros((1, len(FEATURES))), np.zeros(1))
+    return grow(x, (y >= least).astype(np.float64))
 
 
 def shares(dialogues: DataFrame, messages: str = "curr_messages", least: float = 0.5, train_rows: int = 600) -> DataFrame:
@@ -195,17 +222,15 @@ def shares(dialogues: DataFrame, messages: str = "curr_messages", least: float =
     Null and empty contents have no row; a content without letters has share 0. The trees learn from at most `train_rows`
     dialogues; every message is scored and measured, and whole."""
     spark = dialogues.sparkSession
-    some = dialogues.where(F.col(messages).isNotNull()).select(F.transform(messages, lambda m: m["content"]).alias("c")).limit(train_rows).collect()  # bounded
+    some = lowest(dialogues.where(F.col("cid").isNotNull() & F.col(messages).isNotNull()).select("cid", F.transform(messages, lambda m: m["content"]).alias("c")), "cid", train_rows)
     share = spark.sparkContext.broadcast(fit([t for r in some for t in r["c"] if t], least))
     rows = dialogues.where("cid IS NOT NULL").select("cid", F.posexplode(messages).alias("place", "m")).select("cid", (F.col("place") + 1).alias("turn_no"), F.col("m.content").alias("content")).where(F.length("content") > 0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = share.value
         for b in batches:
-            texts = b.column(2).to_pylist()
-            both = [statistics(t) for t in texts]
-            score = trees.score(np.stack([x for x, _ in both])) if both else np.zeros(0)
-            exact = [y for _, y in both]
+            x, exact = statistics(b.column(2).to_pylist())
+            score = trees.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array(exact, pa.float64())], ["cid", "turn_no", "score", "repeated"])
 
     return rows.mapInArrow(measure, "cid long, turn_no int, score double, repeated double")

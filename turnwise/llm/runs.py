@@ -23,15 +23,15 @@ def shake(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _kinds() -> np.ndarray:
+def kinds() -> np.ndarray:
     """For each code point 1 if it is part of words, 2 if it is a word of its own, else 0."""
-    kinds = np.zeros(0x110000, np.int8)
+    out = np.zeros(0x110000, np.int8)
     low, high = (np.arange(a, b, dtype=np.uint32).tobytes().decode("utf-32-le") for a, b in ((0, 0xD800), (0xE000, 0x110000)))
     for kind, pattern in ((1, r"[\p{L}\p{N}\p{M}]+"), (2, OWN + "+")):
         for text, base in ((low, 0), (high, 0xE000)):
             for m in regex.finditer(pattern, text):
-                kinds[base + m.start() : base + m.end()] = kind
-    return kinds
+                out[base + m.start() : base + m.end()] = kind
+    return out
 
 
 def _powers(of: int, n: int) -> np.ndarray:
@@ -40,17 +40,27 @@ def _powers(of: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value of each word of the texts, and the number of the text it stands in. Case, punctuation and forms that NFKC makes equal don't count."""
-    joined = "\0".join(t.replace("\0", " ") if "\0" in t else t for t in texts)
-    joined = joined.lower() if joined.isascii() else unicodedata.normalize("NFKC", joined).casefold()
-    c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    kind = _kinds()[c]
+def joined(texts: list[str]) -> np.ndarray:
+    """Code points of all texts with a 0 between them. Case, and forms that NFKC makes equal, don't count."""
+    whole = "\0".join(t.replace("\0", " ") if "\0" in t else t for t in texts)
+    whole = whole.lower() if whole.isascii() else unicodedata.normalize("NFKC", whole).casefold()
+    return np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def split_words(c: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of code points by their kinds, and a 64-bit value of each."""
     inside = kind > 0
-    start = np.flatnonzero(inside & ~(np.r_[False, kind[:-1] == 1] & (kind == 1)))
-    end = np.flatnonzero(inside & ~(np.r_[kind[1:] == 1, False] & (kind == 1))) + 1
+    part = kind == 1
+    start = np.flatnonzero(inside & ~(np.r_[False, part[:-1]] & part))
+    end = np.flatnonzero(inside & ~(np.r_[part[1:], False] & part)) + 1
     rolled = np.r_[np.uint64(0), np.cumsum((c + np.uint32(1)).astype(np.uint64) * _powers(_BASE, len(c)), dtype=np.uint64)]
-    value = shake((rolled[end] - rolled[start]) * _powers(_BACK, len(c) + 1)[start])
+    return start, end, shake((rolled[end] - rolled[start]) * _powers(_BACK, len(c) + 1)[start])
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value of each word of the texts, and the number of the text it stands in. Punctuation doesn't count."""
+    c = joined(texts)
+    start, _, value = split_words(c, kinds()[c])
     return value, np.searchsorted(np.flatnonzero(c == 0), start, side="left")
 
 
@@ -68,7 +78,7 @@ def _runs(texts: list[str], owner: np.ndarray, run: int) -> tuple[np.ndarray, np
     return h[starts], owner[text[starts]]
 
 
-def blocks(texts: list[str], owner: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cuts of the texts into blocks of about `size` characters."""
     a, total = 0, 0
     for b, t in enumerate(texts):
@@ -80,7 +90,7 @@ def blocks(texts: list[str], owner: np.ndarray, size: int = 1 << 20) -> Iterator
         yield a, len(texts)
 
 
-def _grouped(h: np.ndarray, whose: np.ndarray, count: int) -> np.ndarray:
+def grouped(h: np.ndarray, whose: np.ndarray, count: int) -> np.ndarray:
     """An order that brings equal values of one owner together, owner after owner."""
     bits = max(1, int(count).bit_length())
     key = (whose.astype(np.uint64) << np.uint64(64 - bits)) | (h >> np.uint64(bits))
@@ -95,10 +105,10 @@ def run_tokens(texts: list[str], owner: np.ndarray, count: int, run: int = 3) ->
     """Distinct 64-bit tokens of all runs of each owner's texts, owner after owner, and the offsets of the `count` owners.
 
     The k-th repetition of a run has a token of its own, so that set overlap is overlap with multiplicity."""
-    parts = [_runs(texts[a:b], owner[a:b], run) for a, b in blocks(texts, owner)]
+    parts = [_runs(texts[a:b], owner[a:b], run) for a, b in blocks(texts)]
     h = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
     whose = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    order = _grouped(h, whose, count)
+    order = grouped(h, whose, count)
     h, whose = h[order], whose[order]
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (whose[1:] != whose[:-1])]) if len(h) else np.zeros(0, np.int64)
     again = np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 LANGS = ("en", "zh", "de", "fr", "es")
@@ -105,9 +104,28 @@ def sentences(text: str | None) -> list[Sentence]:
     return out
 
 
+def lowest(table: DataFrame, key: str, n: int, group: str | None = None, groups: tuple[str, ...] = ()) -> list[Row]:
+    """At most n rows (of each group): those whose keys hash lowest, in order of the hash, whatever files and tasks the table is cut into.
+
+    A count of each group gives a bound of the hash below which little more than n rows are expected; only those are read out."""
+    counts = {r[0]: r[1] for r in (table.where(F.col(group).isin(*groups)).groupBy(group).count() if group else table.agg(F.lit("").alias("g"), F.count("*"))).collect()}
+    mixed = F.shiftrightunsigned(F.xxhash64(key), 2)
+    bound = lambda count: min(1 << 62, int((n + 6 * n**0.5 + 10) / max(count, 1) * 2**62))
+    near = F.lit(False)
+    for g, count in counts.items():
+        near = near | ((mixed < F.lit(bound(count))) & (F.col(group) == g if group else F.lit(True)))
+    rows = sorted(table.where(near).withColumn("_mixed", mixed).collect(), key=lambda r: (r["_mixed"], str(r[key])))  # bounded
+    kept: dict[object, list[Row]] = {}
+    for r in rows:
+        mine = kept.setdefault(r[group] if group else None, [])
+        if len(mine) < n:
+            mine.append(r)
+    return [r for g in sorted(kept, key=str) for r in kept[g]]
+
+
 def labelled(*tables: DataFrame, docs_a_language: int = 300, sentences_a_language: int = 2000) -> tuple[list[str], list[int]]:
-    """A bounded sample for training from tables with text and lang: at most `sentences_a_language` sentences of at most `docs_a_language`
-    labelled rows of each table for each language, and the everyday phrases.
+    """A bounded sample for training from tables with text and lang, whose first column is their key: at most `sentences_a_language`
+    sentences of at most `docs_a_language` labelled rows of each table for each language, and the everyday phrases.
 
     Some labels are wrong: sentences in a script that their label excludes are left out here, and the trainers leave
     out what contradicts a first model."""
@@ -118,13 +136,12 @@ def labelled(*tables: DataFrame, docs_a_language: int = 300, sentences_a_languag
             texts += [phrase.strip()] * 3
             labels += [k] * 3
     for table in tables:
-        parts = [table.where((F.col("lang") == lang) & (F.length("text") > 0)).select("lang", "text").limit(docs_a_language) for lang in LANGS]
-        rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4]).collect()  # bounded
+        key = table.columns[0]
         seen = dict.fromkeys(range(len(LANGS)), 0)
-        for lang, text in sorted(((r["lang"], r["text"]) for r in rows), key=lambda r: zlib.crc32(r[1].encode())):
-            k = LANGS.index(lang)
-            for s in sentences(text):
-                fits = bool(regex.search(HAN, s.text)) == (lang == "zh")
+        for r in lowest(table.select(F.col(key).alias("key"), "lang", "text"), "key", docs_a_language, "lang", LANGS):
+            k = LANGS.index(r["lang"])
+            for s in sentences(r["text"]):
+                fits = bool(regex.search(HAN, s.text)) == (r["lang"] == "zh")
                 if s.whole and fits and len(s.text) >= 12 and seen[k] < sentences_a_language:
                     texts.append(s.text)
                     labels.append(k)
