@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnwise.plans.lineage import cut
 
 def numbered(df: DataFrame, order: str, into: str = "pos") -> DataFrame:
     """`df` with dense numbers from 0 in the order of a unique key.
 
-    Ranges of the key are numbered by many tasks; only the sizes of the ranges meet in one place."""
-    spread = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    Ranges of the key alone are numbered by many tasks, and only the sizes of the ranges meet in one place. The
+    ranges are stored before they are counted: two evaluations would draw different bounds."""
+    spread = cut(df.select(F.col(order).alias("_key")).repartitionByRange("_key").select("_key", F.spark_partition_id().alias("_part")))
     before = spread.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = spread.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(order)))
-    return inside.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_row") - 1).drop("_part", "_row", "_before")
+    places = spread.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy("_key"))).join(F.broadcast(before), "_part")  # one row a task
+    places = places.select("_key", (F.col("_before") + F.col("_row") - 1).alias(into))
+    return df.join(places.hint("merge"), F.col(order).eqNullSafe(F.col("_key"))).drop("_key")
 
 
 def repeat(df: DataFrame, times: int | Column) -> DataFrame:
@@ -96,11 +99,82 @@ def imbalance(parts: DataFrame) -> DataFrame:
     return sums.groupBy("group").agg(F.min("s").alias("low"), F.max("s").alias("high"), (F.max("s") - F.min("s")).alias("gap"))
 
 
-def micro_batches(df: DataFrame, length: str, order: str, budget: int) -> DataFrame:
-    """`df` with batch: rows in order of length, each batch within the token budget on average (k = all tokens over the budget, rounded up)."""
-    total = df.agg(F.ceil(F.sum(length) / budget).alias("_k"), F.count("*").alias("_rows"))
-    rows = numbered(df.withColumn("_o", F.struct(F.col(length), F.col(order))), "_o", "_pos").drop("_o")
-    return rows.crossJoin(F.broadcast(total)).withColumn("batch", (F.col("_pos") % F.greatest(F.lit(1), F.least("_k", "_rows"))).cast("int")).drop("_pos", "_k", "_rows")
+def interleaved(items: list) -> list:
+    """Items in descending order of load, with the small ones at both ends: every second one backwards, then the others."""
+    return items[::2][::-1] + items[1::2]
+
+
+def micro_batch_rows(lengths: list[int], budget: int, least: int = 1, multiple: int = 1) -> list[list[int]]:
+    """Rows of each micro batch: as many batches as the budget asks for, of nearly equal workload, the small ones at both ends."""
+    if max(lengths) > budget:
+        raise ValueError("a row is longer than the budget")
+    k = round_up(max(least, min(len(lengths), ceil_div(sum(lengths), budget))), multiple)
+    if k > len(lengths):
+        raise ValueError("more batches than rows")
+    loads = [24576 * n + n * n for n in lengths]
+    parts = sorted(differencing(loads, k), key=lambda rows: (sum(loads[i] for i in rows), rows[0]), reverse=True)
+    return interleaved(parts)
+
+
+def micro_batches(df: DataFrame, group: str, key: str, length: str, budget: int, least: int = 1, multiple: int = 1) -> DataFrame:
+    """group, key, length, batch, place: each group's rows in micro batches of nearly equal workload, place being that within all of them.
+
+    The number of batches is all tokens over the budget, rounded up, not above the number of rows, at least `least`,
+    and rounded up to a multiple of `multiple`; a row longer than the budget is an error. A group is one mini batch,
+    of bounded size. `restored` brings rows back into their order."""
+
+    def split(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("key").reset_index(drop=True)
+        parts = micro_batch_rows(b["length"].tolist(), budget, least, multiple)
+        out = b.iloc[[i for rows in parts for i in rows]]
+        return out.assign(batch=[k for k, rows in enumerate(parts) for _ in rows], place=range(len(out)))
+
+    named = df.select(F.col(group).cast("string").alias("group"), F.col(key).alias("key"), F.col(length).cast("long").alias("length"))
+    return named.groupBy("group").applyInPandas(split, "group string, key long, length long, batch int, place int")
+
+
+def restored(moved: DataFrame, rows: DataFrame, key: str = "key") -> DataFrame:
+    """`moved` values (key, ...) beside the rows they came from, whatever order they were worked on in."""
+    return rows.join(moved.hint("merge"), key)
+
+
+def greedy(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
+    """Indices in k parts: each row in its order goes to the part with the smallest sum so far; with `equal`, parts of equal size."""
+    if equal and len(lengths) % k:
+        raise ValueError("parts of equal size need a multiple of k rows")
+    extra = sum(lengths) + 1 if equal else 0
+    heap = [(0, p) for p in range(k)]
+    out: list[list[int]] = [[] for _ in range(k)]
+    for i, n in enumerate(lengths):
+        load, p = heapq.heappop(heap)
+        out[p].append(i)
+        heapq.heappush(heap, (load + n + extra, p))
+    return out
+
+
+def balanced_ranks(df: DataFrame, group: str, key: str, length: str, ranks: int) -> DataFrame:
+    """group, key, length, rank, place: each group's rows over ranks of equal size and nearly equal workload, within a rank small rows at both ends.
+
+    A group is one batch, of bounded size, whose rows are a multiple of the ranks."""
+
+    def split(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("key").reset_index(drop=True)
+        loads = [24576 * n + n * n for n in b["length"].tolist()]
+        parts = [sorted(rows, key=lambda i: (loads[i], i)) for rows in differencing(loads, ranks, equal=True)]
+        order = [i for rows in parts for i in rows[::2] + rows[1::2][::-1]]
+        return b.iloc[order].assign(rank=[r for r, rows in enumerate(parts) for _ in rows], place=range(len(b)))
+
+    named = df.select(F.col(group).cast("string").alias("group"), F.col(key).alias("key"), F.col(length).cast("long").alias("length"))
+    return named.groupBy("group").applyInPandas(split, "group string, key long, length long, rank int, place int")
+
+
+def ceil_div(a: int, b: int) -> int:
+    return -(a // -b)
+
+
+def round_up(n: int, multiple: int) -> int:
+    """The smallest multiple that is not below n."""
+    return ceil_div(n, multiple) * multiple
 
 
 def workload(length: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnwise.operators.batches import numbered
+from turnwise.plans.lineage import cut
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -53,5 +54,65 @@ def interleaved_by_load(df: DataFrame, load: str, order: str) -> DataFrame:
     return rows.withColumn("place", F.when(F.col("_pos") % 2 == 0, F.floor(F.col("_pos") / 2)).otherwise(F.lit(n) - 1 - F.floor(F.col("_pos") / 2)).cast("long")).drop("_o", "_pos")
 
 
-def resample_weights(score: Column, power: float = 2.0) -> Column:
-    return F.pow(F.abs(score), F.lit(power))
+def interleaved_descending(df: DataFrame, load: str, order: str) -> DataFrame:
+    """`df` with place: rows from the largest load down, every second one backwards first, then the others: small ones at both ends again, the largest in the middle."""
+    n = df.count()
+    rows = numbered(df.withColumn("_o", F.struct((-F.col(load)).alias("l"), (-F.col(order)).alias("o"))), "_o", "_pos")
+    firsts = (n + 1) // 2
+    return rows.withColumn("place", F.when(F.col("_pos") % 2 == 0, firsts - 1 - F.col("_pos") / 2).otherwise(firsts + (F.col("_pos") - 1) / 2).cast("long")).drop("_o", "_pos")
+
+
+def uniform_draws(pool: DataFrame, key: str, draws: int, seed: int = 11) -> DataFrame:
+    """draw and the rows of a bounded pool, drawn with replacement, each alike."""
+    w = W.orderBy(key)
+    rows = pool.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
+    points = pool.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_u", uniform(F.lit(seed), "draw"))
+    return points.join(F.broadcast(rows), F.floor(F.col("_u") * F.col("_n")) == F.col("_k")).drop("_u", "_k", "_n")
+
+
+def head(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first n rows in order; a negative n takes all."""
+    return df if n < 0 else df.orderBy(order).limit(n)
+
+
+def sample_of(df: DataFrame, key: str, n: int, shuffle: bool = False, seed: int = 42) -> DataFrame:
+    """At most n rows: by number, or by seeded draw; a negative n takes all."""
+    return df if n < 0 else (shuffled_head(df, key, n, seed).drop("draw") if shuffle else head(df, key, n))
+
+
+def logged_samples(df: DataFrame, text: str, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows for a log: the order of a seeded draw over their texts, so that the same texts come out each time."""
+    return df.withColumn("draw", uniform(F.lit(seed), text)).orderBy("draw", text, key).limit(n).drop("draw")
+
+
+def resample_weights(score: Column, method: str = "pow", power: float = 2.0, high: Column | None = None, low: Column | None = None) -> Column:
+    """Weights of scores: pow, max_min (largest and smallest alone) or max_random (0.4 for the largest, else 0.1); the extremes are given as columns."""
+    if method == "pow":
+        w = F.pow(F.abs(score), F.lit(power))
+    elif method == "max_min" and high is not None and low is not None:
+        w = F.when((score == high) | (score == low), 1.0).otherwise(0.0)
+    elif method == "max_random" and high is not None:
+        w = F.when(score == high, 0.4).otherwise(0.1)
+    else:
+        raise ValueError(f"no method {method}")
+    return F.greatest(w + 1e-8, F.lit(1e-8))
+
+
+def resampled(df: DataFrame, key: str, score: str, method: str = "pow", power: float = 2.0, seed: int = 3) -> DataFrame:
+    """draw, key: as many draws as rows, with replacement, in proportion to the weights of their scores.
+
+    Weights are summed in ranges of the key; a draw finds its range by the ranges' sums (one row a task), and its row
+    within the range by a merge of draws and running sums, so no side is broadcast but the ranges."""
+    edges = df.agg(F.max(score).alias("_hi"), F.min(score).alias("_lo"))
+    weighed = df.crossJoin(F.broadcast(edges)).select(F.col(key).alias("_key"), resample_weights(F.col(score), method, power, F.col("_hi"), F.col("_lo")).alias("_w"))
+    spread = cut(weighed.repartitionByRange("_key").select("_key", "_w", F.spark_partition_id().alias("_part")))
+    sums = spread.groupBy("_part").agg(F.sum("_w").alias("_sum"), F.count("*").alias("_n"))
+    parts = sums.select("_part", "_n", (F.sum("_sum").over(W.orderBy("_part")) - F.col("_sum")).alias("_from"), F.sum("_sum").over(W.orderBy("_part")).alias("_to"), F.sum("_sum").over(W.partitionBy()).alias("_total"))
+    bounds = F.broadcast(cut(parts))
+    n = spread.count()
+    points = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", uniform(F.lit(seed), "draw"))
+    placed = points.join(bounds, (F.col("_u") * F.col("_total") >= F.col("_from")) & (F.col("_u") * F.col("_total") < F.col("_to"))).select("_part", (F.col("_u") * F.col("_total")).alias("_at"), "draw", F.lit(None).cast(df.schema[key].dataType).alias("_key"))
+    running = F.sum("_w").over(W.partitionBy("_part").orderBy("_key")) - F.col("_w") + F.col("_from")
+    rows = spread.join(bounds, "_part").select("_part", running.alias("_at"), F.lit(None).cast("long").alias("draw"), "_key")
+    merged = W.partitionBy("_part").orderBy("_at", F.col("draw").asc_nulls_first())
+    return rows.unionByName(placed).withColumn("_hit", F.last("_key", ignorenulls=True).over(merged)).where("draw IS NOT NULL").select("draw", F.col("_hit").alias(key))

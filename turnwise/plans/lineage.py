@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, a folder of this session's own."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a folder of this session's own, which
+    only a session whose executors live in the driver may use; on a cluster it is an error."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnwise-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
