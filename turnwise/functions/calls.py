@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Call blocks on lines of their own, and anywhere.
 BODY = r"(?s)<tool_call>\n(.*?)\n</tool_call>"
 LOOSE_BODY = r"(?s)<tool_call>(.*?)</tool_call>"
 
@@ -19,6 +20,12 @@ def bodies(text: Column, strict: bool = True) -> Column:
     return F.regexp_extract_all(text, F.lit(BODY if strict else LOOSE_BODY), F.lit(1))
 
 
+def strict_json(text: Column) -> Column:
+    """A JSON text as VARIANT; null where anything but blanks stands before or after the one value. The parser alone would stop after the first value."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.when(F.try_variant_get(alone, "$[1]", "variant").isNull(), F.try_variant_get(alone, "$[0]", "variant"))
+
+
 def without_calls(text: Column) -> Column:
     return F.regexp_replace(text, LOOSE_BODY, "")
 
@@ -66,13 +73,13 @@ def exact_reward(label: Column, answer: Column, best: float = 1.0, worst: float
     return F.when(same_calls(label, answer), F.lit(best)).otherwise(F.lit(worst))
 
 
-def prefix_reward(label: Column, answer: Column, best: float = 1.0) -> Column:
-    """A share for each call that matches in place, up to the first that does not."""
+def prefix_reward(label: Column, answer: Column, worst: float = 0.0) -> Column:
+    """The worst reward and a share of 1 for each call that matches in place, up to the first that does not."""
     matched = F.aggregate(
         F.zip_with(label, answer, lambda x, y: F.coalesce(x == y, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
         lambda s, ok: F.struct((s["n"] + F.when(s["on"] & ok, 1).otherwise(0)).alias("n"), (s["on"] & ok).alias("on")),
     )["n"]
-    return F.when(F.size(label) > 0, F.lit(best) * matched / F.size(label)).otherwise(F.lit(0.0))
+    return F.when(F.size(label) > 0, F.lit(worst) + matched / F.size(label)).otherwise(F.lit(worst))
 
 
 def multiset_jaccard(a: Column, b: Column) -> Column:
@@ -83,60 +90,76 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
-def length_reward(text: Column, words: int = 512, best: float = 1.0) -> Column:
-    """Words over the wanted number, to two digits (half to even), at most one."""
-    n = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
-    return F.lit(best) * F.least(F.lit(1.0), F.bround(n / F.lit(words), 2))
+def length_reward(text: Column, words: int = 512, best: float = 1.0, worst: float = 0.0) -> Column:
+    """Words of the last thought over the wanted number, to two digits (half to even), at most one, between worst and best; worst without a thought."""
+    last = F.get(F.split(F.element_at(F.split(text, "<think>"), -1), "</think>"), F.lit(0))
+    n = F.size(F.filter(F.split(last, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != ""))
+    share = F.least(F.lit(1.0), F.bround(n / F.lit(words), 2))
+    return F.when(text.contains("<think>") & text.contains("</think>"), share * (best - worst) + worst).otherwise(F.lit(worst))
+
 
+#: What a response must look like, by what its label holds: (response, call).
+TEMPLATES = {
+    (True, False): r"(?s)\A<think>.*?</think>\n<response>.*?</response>\n?\z",
+    (False, True): r"(?s)\A<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n?\z",
+    (True, True): r"(?s)\A<think>.*?</think>\n<tool_call>\n.*?\n</tool_call>\n<response>.*?</response>\n?\z",
+    (False, False): r"(?s)\A<think>.*?</think>\n?\z",
+}
 
-def format_reward(text: Column, label_has_call: Column, best: float = 1.0, worst: float = 0.0) -> Column:
-    """Whether a response has one thought, and then one call block exactly where the label has calls, or else one answer."""
-    thought = r"(?s)\A<think>.*?</think>\n"
+
+def format_reward(text: Column, label: Column, best: float = 1.0, worst: float = 0.0) -> Column:
+    """Whether a response is a thought and then what its label holds: a response, a call block, both or neither, each at most once."""
     once = lambda tag: (F.regexp_count(text, F.lit(f"<{tag}>")) == 1) & (F.regexp_count(text, F.lit(f"</{tag}>")) == 1)
-    call = text.rlike(thought + r"<tool_call>\n.*?\n</tool_call>.*\z") & once("tool_call")
-    plain = text.rlike(thought + r"<response>.*?</response>\z") & once("response")
-    return F.when(F.when(label_has_call, call).otherwise(plain), F.lit(best)).otherwise(F.lit(worst))
+    fits = F.lit(False)
+    for (response, call), template in TEMPLATES.items():
+        ok = text.rlike(template)
+        for wanted, tag in ((response, "response"), (call, "tool_call")):
+            ok = ok & once(tag) if wanted else ok
+        fits = F.when((label.contains("<response>") == response) & (label.contains("<tool_call>") == call), ok).otherwise(fits)
+    return F.when(fits, F.lit(best)).otherwise(F.lit(worst))
+
+
+#: JSON types of Python values, by declared type; a boolean counts as an integer and a number.
+JSON_TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}
 
 
-#: JSON types that are no violation of a declared type; a boolean counts as a number.
 def type_fits(value: Any, declared: str | None) -> bool:
     """Whether a JSON value has the declared type; unknown types accept everything."""
-    wanted = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict}.get((declared or "").lower())
+    wanted = JSON_TYPES.get((declared or "").lower())
     return True if wanted is None else isinstance(value, wanted)
 
 
+def fits_natively(value: Column, declared: Column) -> Column:
+    """The same for a JSON value as VARIANT."""
+    whole_kind = F.schema_of_variant(value)
+    kind = F.regexp_extract(whole_kind, r"^[A-Z]+", 0)
+    whole = kind.isin("BIGINT", "BOOLEAN") | whole_kind.rlike(r"^DECIMAL\(\d+,0\)$")
+    number = whole | kind.isin("DOUBLE", "DECIMAL", "FLOAT")
+    d = F.lower(F.coalesce(declared, F.lit("")))
+    return (
+        F.when(d == "string", kind == "STRING").when(d == "integer", whole).when(d == "number", number).when(d == "boolean", kind == "BOOLEAN")
+        .when(d == "array", kind == "ARRAY").when(d == "object", kind == "OBJECT").otherwise(F.lit(True))
+    )
+
+
 def rule_checks(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     """call_id, name, violation of each call (call_id, name, parameters as JSON text): none, or the first of unknown_tool, bad_parameters,
-    missing_parameter, extra_parameter.
+    missing_parameter, extra_parameter, wrong_type.
 
-    The catalog is joined by name; its size is left to the planner."""
-    known = catalog.select("name", F.col("parameters.required").alias("required"), F.map_keys("parameters.properties").alias("allowed"), F.lit(True).alias("known"))
-    given = F.json_object_keys("parameters")
+    The catalog is joined by name; its size is left to the planner. Types are looked at through VARIANT, without Python."""
     empty = F.array().cast("array<string>")
-    joined = calls.join(known.dropDuplicates(["name"]), "name", "left").withColumn("given", given)
+    known = catalog.select("name", F.col("parameters.required").alias("required"), F.col("parameters.properties").alias("properties"), F.lit(True).alias("known"))
+    joined = calls.join(known.dropDuplicates(["name"]), "name", "left").withColumn("values", strict_json(F.col("parameters")).try_cast("map<string,variant>")).withColumn("given", F.map_keys("values"))
     missing = F.size(F.array_except(F.coalesce("required", empty), F.coalesce("given", empty))) > 0
-    extra = F.size(F.array_except(F.coalesce("given", empty), F.coalesce("allowed", empty))) > 0
-    return joined.select("call_id", "name", F.when(F.col("known").isNull(), "unknown_tool").when(F.col("given").isNull(), "bad_parameters").when(missing, "missing_parameter").when(extra, "extra_parameter").otherwise("none").alias("violation"))
+    extra = F.size(F.array_except(F.coalesce("given", empty), F.coalesce(F.map_keys("properties"), empty))) > 0
+    wrong = F.exists(F.map_entries("values"), lambda e: ~F.coalesce(fits_natively(e["value"], F.col("properties")[e["key"]]["type"]), F.lit(False)))
+    step = F.when(F.col("known").isNull(), "unknown_tool").when(F.col("given").isNull(), "bad_parameters").when(missing, "missing_parameter").when(extra, "extra_parameter").when(F.coalesce(wrong, F.lit(False)), "wrong_type")
+    return joined.select("call_id", "name", step.otherwise("none").alias("violation"))
 
 
 def type_checks(calls: DataFrame, catalog: DataFrame) -> DataFrame:
-    """call_id, parameter, declared, fits: each given parameter of known calls against the declared type."""
+    """call_id, parameter, declared, fits: each given parameter of known calls against the declared type, without Python."""
     declared = catalog.select("name", F.explode("parameters.properties").alias("parameter", "p")).select("name", "parameter", F.col("p.type").alias("declared"))
-
-    @F.pandas_udf("map<string,string>")
-    def values(texts: pd.Series) -> pd.Series:
-        def of(x: str) -> dict[str, str]:
-            try:
-                d = json.loads(x)
-            except ValueError:
-                return {}
-            return {k: json.dumps(v) for k, v in d.items()} if isinstance(d, dict) else {}
-
-        return texts.map(of, na_action="ignore")
-
-    @F.pandas_udf("boolean")
-    def fits(value: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([type_fits(json.loads(v), k) for v, k in zip(value, kind)])
-
-    given = calls.where("parameters IS NOT NULL").select("call_id", "name", F.explode(values("parameters")).alias("parameter", "value"))
-    return given.join(declared, ["name", "parameter"]).select("call_id", "parameter", "declared", fits("value", "declared").alias("fits"))
+    values = strict_json(F.col("parameters")).try_cast("map<string,variant>")
+    given = calls.where("parameters IS NOT NULL").select("call_id", "name", F.explode(values).alias("parameter", "value"))
+    return given.join(declared, ["name", "parameter"]).select("call_id", "parameter", "declared", fits_natively(F.col("value"), F.col("declared")).alias("fits"))

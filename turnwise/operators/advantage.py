@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPS = 1e-6
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -126,25 +129,77 @@ def response_mask(df: DataFrame, group: str = "uid", order: str = "pos", token:
     return df.withColumn("mask", (F.coalesce(F.sum((F.col(token) == end).cast("int")).over(w), F.lit(0)) == 0).cast("int"))
 
 
+def _matrix(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays of a batch as one matrix, padded at the right with 0, and their lengths."""
+    n = np.array([len(x) for x in rows], dtype=np.int64)
+    out = np.zeros((len(rows), int(n.max()) if len(n) else 0))
+    for i, x in enumerate(rows):
+        out[i, : len(x)] = np.asarray(x, dtype=np.float64)
+    return out, n
+
+
 def discounted_returns(rewards: Column, mask: Column, gamma: float) -> Column:
-    """For an array of token rewards: the discounted sum from each place on; a masked token starts the sum anew."""
-    pairs = F.reverse(F.zip_with(rewards, mask, lambda r, m: F.struct(r.cast("double").alias("r"), m.cast("double").alias("m"))))
-    run = F.aggregate(
-        pairs, F.struct(F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("out")),
-        lambda a, x: F.struct(((x["r"] + gamma * a["next"]) * x["m"]).alias("next"), F.concat(a["out"], F.array(x["r"] + gamma * a["next"])).alias("out")),
-    )["out"]
-    return F.reverse(run)
+    """For an array of token rewards: the discounted sum from each place on; what lies behind a masked token does not count there.
+
+    Linear in the length of a response; a batch of responses is one matrix."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(rewards: pd.Series, mask: pd.Series) -> pd.Series:
+        r, n = _matrix(rewards)
+        m, _ = _matrix(mask)
+        out, next_ = np.zeros_like(r), np.zeros(len(r))
+        for t in range(r.shape[1] - 1, -1, -1):
+            out[:, t] = r[:, t] + gamma * next_
+            next_ = out[:, t] * m[:, t]
+        return pd.Series([x[:k] for x, k in zip(out, n)])
+
+    return run(rewards, mask)
 
 
 def generalized_advantages(rewards: Column, values: Column, mask: Column, gamma: float, lam: float) -> Column:
     """For arrays of one response: advantages by the reverse recurrence delta + gamma * lam * next; masked tokens pass the state on."""
-    rows = F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"), mask.alias("m")))
-    start = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("a"), F.array().cast("array<double>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        a = x["r"] + gamma * s["v"] - x["v"] + gamma * lam * s["a"]
-        on = x["m"] > 0
-        now = F.when(on, a).otherwise(s["a"])
-        return F.struct(F.when(on, x["v"]).otherwise(s["v"]).cast("double").alias("v"), now.cast("double").alias("a"), F.concat(s["out"], F.array(now.cast("double"))).alias("out"))
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(rewards: pd.Series, values: pd.Series, mask: pd.Series) -> pd.Series:
+        r, n = _matrix(rewards)
+        v, _ = _matrix(values)
+        m, _ = _matrix(mask)
+        inside = np.arange(r.shape[1])[None, :] < n[:, None]
+        out, value, last = np.zeros_like(r), np.zeros(len(r)), np.zeros(len(r))
+        for t in range(r.shape[1] - 1, -1, -1):
+            now = r[:, t] + gamma * value - v[:, t] + gamma * lam * last
+            on = inside[:, t] * m[:, t]
+            value, last = v[:, t] * on + (1 - on) * value, now * on + (1 - on) * last
+            out[:, t] = last
+        return pd.Series([x[:k] for x, k in zip(out, n)])
+
+    return run(rewards, values, mask)
+
 
-    return F.reverse(F.aggregate(rows, start, step)["out"])
+def whitened_tokens(df: DataFrame, values: str, mask: str, into: str = "advantage") -> DataFrame:
+    """`df` with its array of values whitened over all masked tokens of all rows. The two moments are one small aggregate over the rows' sums."""
+    pairs = F.arrays_zip(F.col(values).alias("v"), F.col(mask).alias("m"))
+    add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, z: a + f(z["v"]) * z["m"])
+    sums = df.select(add(lambda v: F.lit(1.0)).alias("n"), add(lambda v: v).alias("s"), add(lambda v: v * v).alias("q")).agg(F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"))
+    mean, var = F.col("_s") / F.col("_n"), (F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_n") - 1)
+    return df.crossJoin(F.broadcast(sums)).withColumn(into, F.transform(values, lambda v: (v - mean) / F.sqrt(var + 1e-8))).drop("_n", "_s", "_q")
+
+
+def reinforce_plus_plus(df: DataFrame, gamma: float, rewards: str = "score", mask: str = "mask") -> DataFrame:
+    """`df` with returns and advantage of its token arrays: discounted returns, whitened over all masked tokens, 0 where masked."""
+    out = whitened_tokens(df.withColumn("returns", discounted_returns(F.col(rewards), F.col(mask), gamma)), "returns", mask)
+    return out.withColumn("advantage", F.zip_with("advantage", mask, lambda a, m: a * m))
+
+
+def generalized(df: DataFrame, gamma: float, lam: float, rewards: str = "score", values: str = "value", mask: str = "mask") -> DataFrame:
+    """`df` with returns (advantages plus values) and advantage (whitened over all masked tokens) of its token arrays."""
+    raw = df.withColumn("_raw", generalized_advantages(F.col(rewards), F.col(values), F.col(mask), gamma, lam))
+    out = whitened_tokens(raw.withColumn("returns", F.zip_with("_raw", values, lambda a, v: a + v)), "_raw", mask)
+    return out.drop("_raw")
+
+
+@register("remax")
+def remax(df: DataFrame, group: str = "uid", score: str = "score", order: str = "pos", baseline: str = "baseline", mask: str = "mask") -> DataFrame:
+    """Per token: the sum of masked rewards from it to the end of its row, minus the row's baseline where it is not masked."""
+    w = W.partitionBy(group).orderBy(order).rowsBetween(W.currentRow, W.unboundedFollowing)
+    return _out(df, F.sum(F.col(score) * F.col(mask)).over(w) - F.col(baseline) * F.col(mask))

@@ -26,6 +26,17 @@ def spread(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def all_reduced(df: DataFrame, value: str) -> DataFrame:
+    """One row: mean, high, low and std (of the population, by the mean of squares) over all rows of all tasks."""
+    x = F.col(value).cast("double")
+    return df.agg(F.avg(x).alias("mean"), F.max(x).alias("high"), F.min(x).alias("low"), F.sqrt(F.greatest(F.avg(x * x) - F.avg(x) * F.avg(x), F.lit(0.0))).alias("std"))
+
+
+def masked_reduced(df: DataFrame, value: str, mask: str) -> DataFrame:
+    """One row: the masked mean over all rows of all tasks."""
+    return df.agg(F.try_divide(F.sum(F.col(value) * F.col(mask)), F.sum(mask)).alias("mean"))
+
+
 def mean_of_means(df: DataFrame, source: str, row: str, score: str) -> DataFrame:
     """source, mean: the mean over rows of each row's mean."""
     return df.groupBy(source, row).agg(F.avg(score).alias("m")).groupBy(source).agg(F.avg("m").alias("mean"))
@@ -109,9 +120,12 @@ def group_validation(values: list[float], labels: list[object]) -> dict[str, flo
     return out
 
 
-def validation(df: DataFrame, source: str, uid: str, value: str, label: str) -> DataFrame:
+def validation(df: DataFrame, source: str, uid: str, value: str, label: str, order: str | None = None) -> DataFrame:
     """source, metric, value: the metrics of group_validation, the means over those of a source's groups that have them.
 
+    A group's responses are drawn from in the order of `order`, which decides which label was seen first; without it
+    in the order of their values.
+
     Groups are the responses to one prompt, of any size. The resampling runs where the group is, and only one row a
     group and metric is shuffled on."""
     def one(batch: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,7 +133,7 @@ def validation(df: DataFrame, source: str, uid: str, value: str, label: str) ->
             out = [(s, k, x) for s, vs, ls in zip(b["source"], b["vs"], b["ls"]) for k, x in group_validation(list(vs), list(ls)).items()]
             yield pd.DataFrame(out, columns=["source", "metric", "value"])
 
-    groups = df.groupBy(F.col(source).alias("source"), uid).agg(F.sort_array(F.collect_list(F.struct(F.col(value).alias("v"), F.col(label).cast("string").alias("l")))).alias("x"))
+    groups = df.groupBy(F.col(source).alias("source"), uid).agg(F.sort_array(F.collect_list(F.struct(*([F.col(order).alias("o")] if order else []), F.col(value).alias("v"), F.col(label).cast("string").alias("l")))).alias("x"))
     lists = groups.select("source", F.transform("x", lambda x: x["v"].cast("double")).alias("vs"), F.transform("x", lambda x: x["l"]).alias("ls"))
     return lists.mapInPandas(one, "source string, metric string, value double").groupBy("source", "metric").agg(F.avg("value").alias("value"))
 

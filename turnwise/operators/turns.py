@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnwise.functions.markup import quoted
+from turnwise.functions.text import normalized_all, trimmed, without_chat_tokens
+
 
 def explode_turns(dialogues: DataFrame, messages: str = "curr_messages", key: str = "cid") -> DataFrame:
     """key, pos (from 0), role, content, tool_usage, tool_response: one row for each message."""
@@ -30,23 +33,37 @@ def history_start(messages: Column, until: Column, max_turns: int) -> Column:
     return F.when(F.size(users) <= max_turns, F.lit(0)).otherwise(F.get(users, F.size(users) - max_turns))
 
 
+def call_blocks(usage: Column) -> Column:
+    """Calls (name, parameters as JSON text) as call blocks, one below the other."""
+    return F.array_join(F.transform(usage, lambda u: F.concat(F.lit('<tool_call>\n{"name": '), quoted(F.coalesce(u["name"], F.lit(""))), F.lit(', "arguments": '), F.coalesce(u["parameters"], F.lit("{}")), F.lit("}\n</tool_call>"))), "\n")
+
+
+def response_blocks(responses: Column) -> Column:
+    """Responses (name, results as JSON text) as response blocks, one below the other."""
+    return F.array_join(F.transform(responses, lambda r: F.concat(F.lit("<tool_response>\n"), F.coalesce(r["results"], F.lit("null")), F.lit("\n</tool_response>"))), "\n")
+
+
 def render_message(m: Column) -> Column:
-    """A line of role and text; calls and responses as JSON. Other roles than user, assistant and tool give null."""
-    body = F.when(F.size(m["tool_usage"]) > 0, F.to_json(m["tool_usage"])).when(F.size(m["tool_response"]) > 0, F.to_json(m["tool_response"])).otherwise(F.coalesce(m["content"], F.lit("")))
-    return F.when(m["role"].isin("user", "assistant", "tool"), F.concat(m["role"], F.lit(": "), body))
+    """A message as chat markup: calls as blocks, tool messages as a user's response blocks. Other roles than user, assistant and tool give null."""
+    said = trimmed(F.coalesce(m["content"], F.lit("")))
+    body = F.when(m["role"] == "tool", response_blocks(F.coalesce(m["tool_response"], F.array().cast("array<struct<name:string,results:string>>"))))
+    body = body.when((m["role"] == "assistant") & F.coalesce(F.size(m["tool_usage"]) > 0, F.lit(False)), call_blocks(m["tool_usage"])).otherwise(said)
+    speaker = F.when(m["role"] == "tool", "user").otherwise(m["role"])
+    return F.when(m["role"].isin("user", "assistant", "tool"), F.concat(F.lit("<|im_start|>"), speaker, F.lit("\n"), body, F.lit("<|im_end|>\n")))
 
 
 def history_samples(dialogues: DataFrame, max_turns: int = 2, messages: str = "curr_messages", key: str = "cid") -> DataFrame:
     """key, pos, n_history, history, output: a training sample for each assistant message that says something in words.
 
-    The history is the window of the last `max_turns` user turns before it, rendered without other roles."""
+    The history is the window of the last `max_turns` user turns before it as chat markup, without other roles and
+    without the first user token and the last end token."""
     m = F.col(messages)
     answers = _positions(m, lambda x: (x["role"] == "assistant") & ~F.coalesce(F.size(x["tool_usage"]) > 0, F.lit(False)) & (F.length(F.trim(x["content"])) > 0))
     rows = dialogues.select(key, m.alias("m"), F.explode(answers).alias("pos"))
     start = history_start(F.col("m"), F.col("pos"), max_turns)
     window = F.slice("m", start + 1, F.col("pos") - start)
     lines = F.filter(F.transform(window, render_message), lambda x: x.isNotNull())
-    return rows.select(key, "pos", F.size(lines).alias("n_history"), F.array_join(lines, "\n").alias("history"), F.get("m", F.col("pos"))["content"].alias("output"))
+    return rows.select(key, "pos", F.size(lines).alias("n_history"), without_chat_tokens(F.array_join(lines, "")).alias("history"), F.get("m", F.col("pos"))["content"].alias("output"))
 
 
 def call_samples(dialogues: DataFrame, max_turns: int = 2, messages: str = "curr_messages", key: str = "cid") -> DataFrame:
@@ -127,6 +144,84 @@ def valid_turn_rate(dialogues: DataFrame, messages: str = "curr_messages", key:
     return dialogues.where(F.col(messages).isNotNull()).select(key, F.size(called).alias("n_calls"), F.size(F.filter(called, lambda n: ~F.array_contains(names, n))).alias("unknown_tools"))
 
 
-def system_prompt(tools: Column, day: Column) -> Column:
-    """The day, then one tool a line as JSON."""
-    return F.concat(F.lit("Today is "), F.coalesce(day, F.lit("unknown")), F.lit("\n"), F.array_join(F.transform(tools, lambda t: F.to_json(t)), "\n"))
+#: How tools are announced and calls are asked for.
+TOOLS_ANNOUNCED = "# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>"
+CALLS_ASKED_FOR = '\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{"name": <function-name>, "arguments": <args-json-object>}\n</tool_call>.'
+
+
+def tool_json(tool: Column) -> Column:
+    """A tool (name, description, parameters as JSON text) as a JSON object."""
+    return F.concat(F.lit('{"name": '), quoted(F.coalesce(tool["name"], F.lit(""))), F.lit(', "description": '), F.when(tool["description"].isNull(), "null").otherwise(quoted(tool["description"])), F.lit(', "parameters": '), F.coalesce(tool["parameters"], F.lit("null")), F.lit("}"))
+
+
+def tool_lines(tools: Column) -> Column:
+    """One tool a line."""
+    return F.array_join(F.transform(F.coalesce(tools, F.array().cast("array<struct<name:string,description:string,parameters:string>>")), tool_json), "\n")
+
+
+def system_prompt(tools: Column, day: Column, instruction: str = "You answer questions and may call functions.") -> Column:
+    """The instruction, the time, one tool a line and how to call them; no tools leave the list empty."""
+    lines = tool_lines(tools)
+    return F.concat(F.lit(f"{instruction}\n\nThe current time is "), F.coalesce(day, F.lit("None")), F.lit(".\n" + TOOLS_ANNOUNCED), F.when(lines == "", "").otherwise(F.concat(F.lit("\n"), lines)), F.lit(CALLS_ASKED_FOR))
+
+
+def new_turn_validity(dialogues: DataFrame, messages: str = "curr_messages", key: str = "cid") -> DataFrame:
+    """key, pos, valid of each message after the first, as if it had just been added.
+
+    An assistant message must make the number of messages even and call known tools only; a tool message must make it
+    odd and answer the calls of the assistant message right before it, as many and with the same names in the same
+    order; user messages are always valid."""
+    names = F.coalesce(F.transform("tools", lambda t: t["name"]), F.array().cast("array<string>"))
+    called = lambda m, part: F.transform(F.coalesce(m[part], F.array().cast(f"array<struct<name:string,{'parameters' if part == 'tool_usage' else 'results'}:string>>")), lambda u: u["name"])
+
+    def fits(m: Column, i: Column) -> Column:
+        before = F.get(F.col(messages), i - 1)
+        assistant = ((i + 1) % 2 == 0) & (F.size(F.array_except(called(m, "tool_usage"), names)) == 0)
+        tool = F.coalesce((i % 2 == 0) & (before["role"] == "assistant") & (F.size(called(before, "tool_usage")) > 0) & (called(before, "tool_usage") == called(m, "tool_response")), F.lit(False))
+        return F.when(m["role"] == "assistant", assistant).when(m["role"] == "tool", tool).otherwise(F.lit(True))
+
+    rows = F.transform(messages, lambda m, i: F.struct(i.alias("pos"), fits(m, i).alias("valid")))
+    return dialogues.where(F.size(messages) > 1).select(key, F.inline(F.slice(rows, 2, F.size(rows) - 1)))
+
+
+def without_empty(dialogues: DataFrame, messages: str = "curr_messages", key: str = "cid", least: int = 2) -> DataFrame:
+    """key, n, digest: the messages that say something in plain form or carry calls or responses, of dialogues with at least `least` of them; digest is over their plain contents."""
+    rows = dialogues.where(F.col(messages).isNotNull()).select(key, F.col(messages).alias("m"), normalized_all(F.transform(messages, lambda m: m["content"])).alias("plain"))
+    full = F.filter(F.arrays_zip("m", "plain"), lambda z: (F.coalesce(F.length(z["plain"]), F.lit(0)) > 0) | F.coalesce(F.size(z["m"]["tool_usage"]) > 0, F.lit(False)) | F.coalesce(F.size(z["m"]["tool_response"]) > 0, F.lit(False)))
+    return rows.select(key, full.alias("x")).where(F.size("x") >= least).select(key, F.size("x").alias("n"), F.transform("x", lambda z: z["plain"]).alias("contents"))
+
+
+def incomplete(dialogues: DataFrame, messages: str = "curr_messages", target: str = "tgt_turn_num", key: str = "cid") -> DataFrame:
+    """key, lacking: dialogues with fewer messages than wanted."""
+    size = F.greatest(F.coalesce(F.size(messages), F.lit(0)), F.lit(0))
+    return dialogues.where(size < F.col(target)).select(key, (F.col(target) - size).alias("lacking"))
+
+
+def first_tool_tag(dialogues: DataFrame, catalog: DataFrame, messages: str = "curr_messages", key: str = "cid") -> DataFrame:
+    """key, tag: the category of the first tool that the first message with calls names and the catalogue knows; null without one.
+
+    The last definition of a name counts; the catalogue's side of the join is left to the planner."""
+    used = F.filter(messages, lambda m: F.coalesce(F.size(m["tool_usage"]) > 0, F.lit(False)))
+    calls = dialogues.select(key, F.posexplode_outer(F.transform(F.get(used, F.lit(0))["tool_usage"], lambda u: u["name"])).alias("place", "name"))
+    tags = catalog.groupBy("name").agg(F.max("category").alias("tag"))
+    best = calls.join(tags, "name", "left").groupBy(key).agg(F.min_by("tag", F.when(F.col("tag").isNotNull(), F.col("place"))).alias("tag"))
+    return best
+
+
+def bucket_counts(dialogues: DataFrame) -> DataFrame:
+    """bucket, n, user_turns: how many dialogues fall into each bucket, and their user turns."""
+    return turn_buckets(dialogues).groupBy("bucket").agg(F.count("*").alias("n"), F.sum("user_turns").alias("user_turns"))
+
+
+def in_buckets(dialogues: DataFrame, *buckets: str, key: str = "cid") -> DataFrame:
+    """key of the dialogues in any of the buckets, for buckets that are kept together."""
+    return turn_buckets(dialogues, key=key).where(F.col("bucket").isin(*buckets)).select(key)
+
+
+def transcript(messages: Column) -> Column:
+    """Messages as lines of tagged text: calls as name|parameters and responses inside their messages."""
+    usage = lambda m: F.array_join(F.transform(F.coalesce(m["tool_usage"], F.array().cast("array<struct<name:string,parameters:string>>")), lambda u: F.concat(F.lit("<tool_usage>"), u["name"], F.lit("|"), u["parameters"], F.lit("</tool_usage>"))), "")
+    answers = lambda m: F.array_join(F.transform(F.coalesce(m["tool_response"], F.array().cast("array<struct<name:string,results:string>>")), lambda r: F.concat(F.lit("<tool_response>"), r["results"], F.lit("</tool_response>"))), "")
+    said = lambda m: F.coalesce(m["content"], F.lit(""))
+    line = lambda m: F.when(m["role"] == "user", F.concat(F.lit("<user>"), said(m), F.lit("</user>"))).when(m["role"] == "assistant", F.concat(F.lit("<assistant>"), said(m), usage(m), F.lit("</assistant>"))).when(m["role"] == "tool", F.concat(F.lit("<tool>"), answers(m), F.lit("</tool>")))
+    return F.array_join(F.transform(messages, line), "\n")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -56,3 +57,15 @@ def fan_out(df: DataFrame, key: str, times: int) -> DataFrame:
     """Each row `times` over with variant (0 to 3, the last half as often): a draw by hash of key and copy."""
     rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("copy"))
     return rows.withColumn("variant", F.pmod(F.conv(F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col("copy").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(7)) % 4)
+
+
+def judge_summary(rows: DataFrame, *by: str) -> DataFrame:
+    """errors, agreed, rate (of agreements among the judged rows; null if there are none) of rows (called, wrong, consensus)."""
+    return rows.groupBy(*by).agg(F.count_if("wrong").alias("errors"), F.count_if(F.col("consensus") & F.col("called")).alias("agreed"), F.try_divide(F.count_if(F.col("consensus") & F.col("called")).cast("double"), F.count_if("called")).alias("rate"))
+
+
+def canonical_labels(df: DataFrame, label: str) -> DataFrame:
+    """`df` with label numbers from 0 in order of the labels. The distinct labels alone are ranked; their table meets the rows in a merge."""
+    names = df.select(F.col(label).alias("_l")).distinct()
+    ranked = names.withColumn("label", (F.dense_rank().over(W.orderBy("_l")) - 1).cast("long"))
+    return df.join(ranked.hint("merge"), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwise.functions.text import normalized_json, normalized_keeping_symbols
+
 
 def read_records(spark: SparkSession, folder: str, schema: T.StructType, corrupt: str = "_corrupt") -> DataFrame:
     """All .json files (an array or one object each) and .jsonl files (an object a line) below a folder, with their file and a `_corrupt` column.
@@ -63,3 +68,108 @@ def with_responses(rows: DataFrame, responses: DataFrame, key: str) -> DataFrame
 def catalogue_groups(tools: DataFrame) -> DataFrame:
     """tag, n_tools, names (sorted) of a flat tool table (name, category)."""
     return tools.groupBy(F.col("category").alias("tag")).agg(F.count("*").alias("n_tools"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+
+
+def read_array_or_object(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The objects of one JSON file: an array's elements, or one object. Files of other kinds are an error."""
+    if not path.endswith((".json", ".jsonl")):
+        raise ValueError(f"{path} is neither .json nor .jsonl")
+    return spark.read.schema(schema).option("multiLine", path.endswith(".json")).json(path)
+
+
+def cleaned(df: DataFrame) -> DataFrame:
+    """Every text leaf of every column in plain form; columns without texts are left alone."""
+    out = []
+    for f in df.schema.fields:
+        if "string" not in f.dataType.simpleString():
+            out.append(F.col(f.name))
+        elif isinstance(f.dataType, T.StringType):
+            out.append(normalized_keeping_symbols(f.name).alias(f.name))
+        else:
+            out.append(F.from_json(normalized_json(F.to_json(f.name)), f.dataType.simpleString() if not isinstance(f.dataType, T.StructType) else f.dataType).alias(f.name))
+    return df.select(*out)
+
+
+def read_cleaned(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """`read_records` without corrupt rows, all texts in plain form."""
+    return cleaned(read_records(spark, folder, schema).where("_corrupt IS NULL").drop("_corrupt", "file"))
+
+
+def progress(spark: SparkSession, folder: str, schema: T.StructType, files: int = 100, name: str = "generated_multi_turn_{}.jsonl") -> DataFrame:
+    """The snapshots of an earlier run: those of its numbered files that exist; none gives no rows."""
+    found = [p for p in (f"{folder}/{name.format(k)}" for k in range(files)) if exists(spark, p)]
+    return spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
+
+
+def preferences(spark: SparkSession, *paths: str) -> DataFrame:
+    """prompt, chosen, rejected of parquet files."""
+    return read_tables(spark, *paths, columns=("prompt", "chosen", "rejected"))
+
+
+def side_by_side(original: DataFrame, inference: DataFrame, pos: str = "pos", only: tuple[int, ...] = ()) -> DataFrame:
+    """Rows of two numbered tables beside each other, all or those at the given numbers; clashing names of the second get a suffix."""
+    names = [f"{c}_inference" if c in original.columns and c != pos else c for c in inference.columns]
+    both = original.join(inference.toDF(*names).hint("merge"), pos)
+    return both.where(F.col(pos).isin(*only)) if only else both
+
+
+def dump_generations(rows: DataFrame, path: str) -> None:
+    """JSON lines of generations, one folder for each step."""
+    write_lines(rows, path, "append", "step")
+
+
+def log_metrics(metrics: DataFrame, path: str, step: int, console: bool = False) -> None:
+    """A line of step and data (name to value) in a log of JSON lines, and on the console where asked for; metrics are few."""
+    row = metrics.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("data")).select(F.lit(step).alias("step"), "data")
+    write_lines(row, path)
+    if console:
+        print(step, dict(metrics.select("name", "value").limit(1000).collect()))
+
+
+def sample_table(previous: DataFrame | None, samples: DataFrame, step: int) -> DataFrame:
+    """The samples of all steps so far, one below the other."""
+    now = samples.withColumn("step", F.lit(step))
+    return now if previous is None else previous.unionByName(now, allowMissingColumns=True)
+
+
+# ---- file systems ------------------------------------------------------------------------------------------------
+
+
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.mkdirs(p)
+
+
+def copy(spark: SparkSession, source: str, target: str, again: bool = False) -> str:
+    """A copy on any file system that Spark reaches; one that is there already is kept unless asked for again."""
+    (a, from_), (b, to) = _path(spark, source), _path(spark, target)
+    if again or not to.exists(b):
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(from_, a, to, b, False, True, spark._jsc.hadoopConfiguration())
+    return target
+
+
+def cache_name(path: str, folder: str) -> str:
+    """Where a copy of a remote path belongs: under the digest of its parent, by its own name."""
+    head, _, tail = path.rstrip("/").rpartition("/")
+    return f"{folder}/{hashlib.md5(head.encode()).hexdigest()}/{tail}"
+
+
+def is_remote(path: str) -> bool:
+    return "://" in path and not path.startswith("file:")
+
+
+def computed_once(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The table at a path; where there is none, it is computed and written first. The path names what it depends on."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
