@@ -5,8 +5,6 @@ tokens, values its scores and log-probabilities -ln(1 + value)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,33 +12,10 @@ from pyspark.sql import functions as F
 from turnwise.functions import answers, calls, text
 from turnwise.operators import advantage, batches, dedup, losses, metrics, retrieval, sampling, turns, votes
 from turnwise.sources import files
+from turnwise.plans.registry import QUERIES, SQL, Query, queries, oracle_sql, query, r6
 from turnwise.sources.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(c if isinstance(c, Column) else F.col(c), 6)
+__all__ = ["oracle_sql", "queries"]
 
 
 # ---- turns -------------------------------------------------------------------------------------------------------
@@ -61,7 +36,21 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return turns.history_samples(table(s, d, "dialogues")).drop("history")
 
 
-@query("history_text")
+_BLOCKS = """CASE WHEN m.role = 'tool' THEN coalesce(array_to_string(list_transform(m.tool_response, lambda r: '<tool_response>' || chr(10) || coalesce(r.results, 'null') || chr(10) || '</tool_response>'), chr(10)), '')
+      WHEN m.role = 'assistant' AND coalesce(len(m.tool_usage), 0) > 0 THEN array_to_string(list_transform(m.tool_usage, lambda u: '<tool_call>' || chr(10) || '{"name": ' || to_json(coalesce(u.name, ''))::VARCHAR || ', "arguments": ' || coalesce(u.parameters, '{}') || '}' || chr(10) || '</tool_call>'), chr(10))
+      ELSE regexp_replace(coalesce(m.content, ''), '^[\\s\\v\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+|[\\s\\v\\p{Z}\\x{85}\\x{1c}-\\x{1f}]+$', '', 'g') END"""
+
+
+@query(
+    "history_text",
+    f"""WITH {_TURNS}, t AS (SELECT *, count(*) FILTER (WHERE m.role = 'user') OVER (PARTITION BY cid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS users FROM turns),
+    a AS (SELECT cid, pos, users, m.content AS output FROM t WHERE m.role = 'assistant' AND NOT {_USED} AND length(trim(m.content, ' ')) > 0),
+    u AS (SELECT cid, pos, row_number() OVER (PARTITION BY cid ORDER BY pos) AS k FROM turns WHERE m.role = 'user'),
+    s AS (SELECT a.*, CASE WHEN users <= 3 THEN 0 ELSE u.pos END AS start FROM a LEFT JOIN u ON u.cid = a.cid AND u.k = a.users - 2),
+    r AS (SELECT cid, pos, '<|im_start|>' || CASE WHEN m.role = 'tool' THEN 'user' ELSE m.role END || chr(10) || {_BLOCKS} || '<|im_end|>' || chr(10) AS line FROM turns WHERE m.role IN ('user', 'assistant', 'tool')),
+    h AS (SELECT s.cid, s.pos, count(r.pos) AS n_history, coalesce(string_agg(r.line, '' ORDER BY r.pos), '') AS h, s.output FROM s LEFT JOIN r ON r.cid = s.cid AND r.pos >= s.start AND r.pos < s.pos GROUP BY s.cid, s.pos, s.output)
+    SELECT cid, pos, n_history, regexp_replace(regexp_replace(h, '^<\\|im_start\\|>user\n', ''), '<\\|im_end\\|>\n$', '') AS history, output FROM h""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
     return turns.history_samples(table(s, d, "dialogues"), max_turns=3)
 
@@ -146,14 +135,14 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "dialogues").where("size(curr_messages) > 0").select("cid", F.md5(text.chat_markup(F.col("curr_messages"))).alias("digest"))
 
 
-@query("simple_form")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "dialogues").select("cid", text.simple_form(text.chat_markup(F.col("curr_messages"))).alias("simple"))
-
-
-@query("system_prompt")
+@query(
+    "system_prompt",
+    """SELECT cid, md5('You answer questions and may call functions.' || chr(10) || chr(10) || 'The current time is ' || coalesce(curr_day, 'None') || '.' || chr(10) || '# Tools' || chr(10) || chr(10) || 'You may call one or more functions to assist with the user query.' || chr(10) || chr(10)
+      || 'You are provided with function signatures within <tools></tools> XML tags:' || chr(10) || '<tools>' || coalesce(array_to_string(list_transform(tools, lambda t: chr(10) || '{"name": ' || to_json(coalesce(t.name, ''))::VARCHAR || ', "description": ' || coalesce(to_json(t.description)::VARCHAR, 'null') || ', "parameters": ' || coalesce(t.parameters, 'null') || '}'), ''), '')
+      || chr(10) || '</tools>' || chr(10) || chr(10) || 'For each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:' || chr(10) || '<tool_call>' || chr(10) || '{"name": <function-name>, "arguments": <args-json-object>}' || chr(10) || '</tool_call>.') AS digest FROM dialogues""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "dialogues").select("cid", turns.system_prompt(F.col("tools"), F.col("curr_day")).alias("prompt"))
+    return table(s, d, "dialogues").select("cid", F.md5(turns.system_prompt(F.col("tools"), F.col("curr_day"))).alias("digest"))
 
 
 @query("collected_turns", f"WITH {_TURNS} SELECT cid, count(*) AS n FROM turns GROUP BY cid")
@@ -263,16 +252,22 @@ def dialogue_calls(s: SparkSession, d: str) -> DataFrame:
     return t.select(F.concat_ws("-", "cid", "pos", "k").alias("call_id"), "u.name", "u.parameters")
 
 
+_KINDS = """CASE lower(coalesce(k, '')) WHEN 'string' THEN t = 'VARCHAR' WHEN 'integer' THEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'BOOLEAN') WHEN 'number' THEN t IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'BOOLEAN', 'DOUBLE') WHEN 'boolean' THEN t = 'BOOLEAN' WHEN 'array' THEN t = 'ARRAY' WHEN 'object' THEN t = 'OBJECT' ELSE true END"""
+_GIVEN = f"""o AS (SELECT call_id, name, parameters FROM n WHERE CASE WHEN json_valid(parameters) THEN json_type(parameters) = 'OBJECT' ELSE false END), e AS (SELECT call_id, name, unnest(json_keys(parameters)) AS p, parameters FROM o),
+    y AS (SELECT e.call_id, e.name, p, json_type(e.parameters, '$."' || p || '"') AS t, c.parameters.properties[p].type AS k, c.parameters.properties[p] IS NOT NULL AS declared FROM e JOIN tool_catalog c ON c.name = e.name)"""
+
+
 @query(
     "call_rule_check",
-    f"""WITH {_CALLS}, g AS (SELECT n.*, t.name IS NOT NULL AS known, coalesce(t.parameters.required, []) AS required, coalesce(map_keys(t.parameters.properties), []) AS allowed, CASE WHEN json_valid(n.parameters) THEN json_keys(n.parameters) END AS given FROM n LEFT JOIN tool_catalog t ON t.name = n.name)
-    SELECT call_id, name, CASE WHEN NOT known THEN 'unknown_tool' WHEN given IS NULL THEN 'bad_parameters' WHEN len(list_filter(required, lambda r: NOT list_contains(given, r))) > 0 THEN 'missing_parameter' WHEN len(list_filter(given, lambda r: NOT list_contains(allowed, r))) > 0 THEN 'extra_parameter' ELSE 'none' END AS violation FROM g""",
+    f"""WITH {_CALLS}, {_GIVEN}, w AS (SELECT DISTINCT call_id FROM y WHERE declared AND NOT {_KINDS}),
+    g AS (SELECT n.*, t.name IS NOT NULL AS known, coalesce(t.parameters.required, []) AS required, coalesce(map_keys(t.parameters.properties), []) AS allowed, CASE WHEN o.call_id IS NOT NULL THEN json_keys(n.parameters) END AS given, w.call_id IS NOT NULL AS wrong FROM n LEFT JOIN tool_catalog t ON t.name = n.name LEFT JOIN o ON o.call_id = n.call_id LEFT JOIN w ON w.call_id = n.call_id)
+    SELECT call_id, name, CASE WHEN NOT known THEN 'unknown_tool' WHEN given IS NULL THEN 'bad_parameters' WHEN len(list_filter(required, lambda r: NOT list_contains(given, r))) > 0 THEN 'missing_parameter' WHEN len(list_filter(given, lambda r: NOT list_contains(allowed, r))) > 0 THEN 'extra_parameter' WHEN wrong THEN 'wrong_type' ELSE 'none' END AS violation FROM g""",
 )
 def _(s: SparkSession, d: str) -> DataFrame:
     return calls.rule_checks(dialogue_calls(s, d), table(s, d, "tool_catalog"))
 
 
-@query("call_type_check")
+@query("call_type_check", f"WITH {_CALLS}, {_GIVEN} SELECT call_id, p AS parameter, k AS declared, {_KINDS} AS fits FROM y WHERE declared")
 def _(s: SparkSession, d: str) -> DataFrame:
     return calls.type_checks(dialogue_calls(s, d), table(s, d, "tool_catalog"))
 
@@ -282,14 +277,39 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return dialogue_calls(s, d).select("call_id", calls.canonical_call("parameters").alias("form"))
 
 
-@query("length_reward", r"""SELECT doc_id, round_even(least(1.0, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')) / 512.0), 2)::DOUBLE AS reward FROM documents WHERE text IS NOT NULL""")
+@query(
+    "length_reward",
+    r"""WITH t AS (SELECT doc_id, text, string_split(list_last(string_split(text, '<think>')), '</think>')[1] AS thought FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CASE WHEN contains(text, '<think>') AND contains(text, '</think>') THEN round_even(least(1.0, len(list_filter(regexp_split_to_array(thought, '[\s\v\p{Z}\x{85}\x{1c}-\x{1f}]+'), lambda w: w <> '')) / 64.0), 2)::DOUBLE ELSE 0.0 END AS reward FROM t""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", calls.length_reward(F.col("text")).cast("double").alias("reward"))
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", calls.length_reward(F.col("text"), 64).cast("double").alias("reward"))
 
 
-@query("format_reward")
+@query(
+    "format_reward",
+    r"""WITH t AS (SELECT doc_id, text, lead(text) OVER (ORDER BY doc_id) AS label FROM documents WHERE text IS NOT NULL),
+    n AS (SELECT *, contains(label, '<response>') AS r, contains(label, '<tool_call>') AS c, (length(text) - length(replace(text, '<response>', ''))) // 10 AS r1, (length(text) - length(replace(text, '</response>', ''))) // 11 AS r2, (length(text) - length(replace(text, '<tool_call>', ''))) // 11 AS c1, (length(text) - length(replace(text, '</tool_call>', ''))) // 12 AS c2 FROM t WHERE label IS NOT NULL)
+    SELECT doc_id, CASE WHEN r AND NOT c THEN regexp_matches(text, '(?s)^<think>.*?</think>
+<response>.*?</response>
+?$') AND r1 = 1 AND r2 = 1 WHEN c AND NOT r THEN regexp_matches(text, '(?s)^<think>.*?</think>
+<tool_call>
+.*?
+</tool_call>
+?$') AND c1 = 1 AND c2 = 1
+      WHEN r AND c THEN regexp_matches(text, '(?s)^<think>.*?</think>
+<tool_call>
+.*?
+</tool_call>
+<response>.*?</response>
+?$') AND r1 = 1 AND r2 = 1 AND c1 = 1 AND c2 = 1 ELSE regexp_matches(text, '(?s)^<think>.*?</think>
+?$') END::INT::DOUBLE AS reward FROM n""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", calls.format_reward(F.col("text"), F.col("text").contains("<tool_call>")).alias("reward"))
+    docs = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    pos = batches.numbered(docs, "doc_id")
+    labels = pos.select((F.col("pos") - 1).alias("pos"), F.col("text").alias("label"))
+    return pos.join(labels, "pos").select("doc_id", calls.format_reward(F.col("text"), F.col("label")).alias("reward"))
 
 
 # ---- text --------------------------------------------------------------------------------------------------------
@@ -320,31 +340,49 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(calls.bodies(F.col("text"), False)).alias("n_calls"), F.length(calls.without_calls(F.col("text"))).alias("rest"))
 
 
-@query("strip_tag_ws")
+@query(
+    "date_extract",
+    r"""WITH p AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT cid, CASE cid % 4 WHEN 0 THEN 'The current time is ' WHEN 1 THEN 'Today is ' ELSE 'On ' END || coalesce(curr_day, '?') FROM dialogues),
+    f AS (SELECT doc_id, nullif(regexp_extract(t, 'The current time is (\d{4}-\d{2}-\d{2})', 1), '') AS c, coalesce(nullif(regexp_extract(t, 'Today is (\d{4}-\d{2}-\d{2})', 1), ''), nullif(regexp_extract(t, 'Today is (\d{2}/\d{2}/\d{4})', 1), ''), nullif(regexp_extract(t, 'Today is (\d{2}-\d{2}-\d{4})', 1), '')) AS d FROM p)
+    SELECT doc_id, coalesce(c, d, '2024-04-14') AS expand, coalesce(c, 'Unknown') AS verify, d AS filter FROM f""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", text.tidy_tags(F.col("text")).alias("tidy"))
+    phrase = F.when(F.col("cid") % 4 == 0, "The current time is ").when(F.col("cid") % 4 == 1, "Today is ").otherwise("On ")
+    said = table(s, d, "dialogues").select(F.col("cid").alias("doc_id"), F.concat(phrase, F.coalesce("curr_day", F.lit("?"))).alias("t"))
+    rows = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.col("text").alias("t")).union(said)
+    return rows.select("doc_id", *[text.date_in(F.col("t"), reader).alias(reader) for reader in ("expand", "verify", "filter")])
 
 
-@query("date_extract", r"""SELECT cid, coalesce(nullif(regexp_extract(p, 'Today is (\d{4}-\d{2}-\d{2})', 1), ''), nullif(regexp_extract(p, '[Dd]ate: ?(\d{4}-\d{2}-\d{2})', 1), ''), nullif(regexp_extract(p, 'on (\d{4}-\d{2}-\d{2})', 1), ''), nullif(regexp_extract(p, '(\d{4}-\d{2}-\d{2})', 1), ''), 'unknown') AS day FROM (SELECT cid, coalesce(curr_day, plan, '') AS p FROM dialogues)""")
-def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "dialogues").select("cid", text.date_in(F.coalesce("curr_day", "plan", F.lit("")), "unknown").alias("day"))
+_WORDS = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[\s\v\p{{Z}}\x{{85}}\x{{1c}}-\x{{1f}}]+', ' ', 'g'), ' ')"""
 
 
-@query("qa_em", r"""WITH x AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS w FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '[\x00-\x7F]*')) SELECT md5(w) AS answer, count(*) AS n FROM x GROUP BY 1""")
+@query(
+    "qa_em",
+    rf"WITH t AS (SELECT lang, kind, doc_id, text, lag(text) OVER (ORDER BY doc_id) AS other FROM documents WHERE text IS NOT NULL AND regexp_full_match(text, '(?s)[\x00-\x7F]*')) SELECT doc_id, {_WORDS.format('text')} = {_WORDS.format('other')} OR {_WORDS.format('text')} = {_WORDS.format('upper(text)')} AS em, contains({_WORDS.format('text')}, {_WORDS.format('substr(text, 1, 60)')}) AS within FROM t WHERE other IS NOT NULL",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text IS NOT NULL").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).groupBy(F.md5(text.answer_words(F.col("text"))).alias("answer")).agg(F.count("*").alias("n"))
+    docs = table(s, d, "documents").where("text IS NOT NULL").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z")).select("doc_id", "text")
+    pos = batches.numbered(docs, "doc_id")
+    both = pos.join(pos.select((F.col("pos") + 1).alias("pos"), F.col("text").alias("other")), "pos")
+    t = F.col("text")
+    return both.select("doc_id", text.exact_match(t, F.array("other", F.upper(t))).alias("em"), text.contains_match(t, F.array(F.substring(t, 1, 60))).alias("within"))
 
 
-@query("final_number", "SELECT event_id, replace(CAST(event_id * 1000 AS VARCHAR), ',', '') AS strict, CAST(event_id * 1000 AS VARCHAR) AS loose FROM events")
+@query(
+    "final_number",
+    r"""WITH t AS (SELECT doc_id, text, regexp_extract_all(right(text, 300), '#### (-?[0-9.,]+)', 1) AS s, list_filter(regexp_extract_all(right(text, 300), '(-?[0-9.,]+)', 1), lambda x: x NOT IN ('', '.')) AS l FROM (SELECT doc_id, replace(text, ' - ', ' #### ') AS text FROM documents WHERE text IS NOT NULL))
+    SELECT doc_id, replace(s[-1], ',', '') AS strict, l[-1] AS loose FROM t""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("so 12 times 3 gives 36\n#### "), F.format_number(F.col("event_id") * 1000, 0))
-    return table(s, d, "events").select("event_id", text.final_number(t).alias("strict"), text.final_number(t, False).alias("loose"))
+    t = F.replace("text", F.lit(" - "), F.lit(" #### "))
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", text.final_number(t).alias("strict"), text.final_number(t, False).alias("loose"))
 
 
-@query("math_equal", "SELECT event_id, true AS same, false AS other FROM events")
+@query("math_equal", "SELECT event_id, floor(value)::INT % 5 = user_id % 5 AS same, (floor(value)::INT % 5 = user_id % 5)::INT::DOUBLE AS score FROM events")
 def _(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").select("event_id", F.concat(F.lit("thus $\\boxed{\\dfrac{"), F.col("event_id") + 1, F.lit("}{7}}$")).alias("solution"), F.concat(F.col("event_id") + 1, F.lit("/7")).alias("gold"), F.concat(F.col("event_id") + 2, F.lit("/3")).alias("wrong"))
-    return e.select("event_id", answers.equal_answers(answers.boxed_answer("solution"), "gold").alias("same"), answers.equal_answers(answers.boxed_answer("solution"), "wrong").alias("other"))
+    a, b = F.floor("value").cast("int") % 5, F.col("user_id") % 5
+    e = table(s, d, "events").select("event_id", F.concat(F.lit("thus $\\boxed{\\dfrac{"), a, F.lit("}{7}}$")).alias("solution"), F.concat(b, F.lit("/7")).alias("gold"))
+    return e.select("event_id", answers.equal_answers(answers.boxed_answer("solution"), "gold").alias("same"), answers.boxed_scores("solution", "gold").alias("score"))
 
 
 # ---- votes and status --------------------------------------------------------------------------------------------
@@ -466,17 +504,44 @@ def responses(s: SparkSession, d: str) -> DataFrame:
     return g.select("uid", part("score"), part("new"), part("mask"))
 
 
-@query("discounted_return", f"WITH {_TOKENS} SELECT a.uid, a.pos, round(sum(b.score * power(0.5, b.pos - a.pos)) + 3e-7, 5) AS value FROM t a JOIN t b ON a.uid = b.uid AND b.pos >= a.pos AND b.pos <= a.pos + 60 GROUP BY ALL")
+_BACKWARD = f"""RECURSIVE {_TOKENS}, z AS (SELECT *, max(pos) OVER (PARTITION BY uid) AS n FROM t)"""
+
+
+@query(
+    "discounted_return",
+    f"""WITH {_BACKWARD}, g AS (SELECT uid, pos, mask, score AS value FROM z WHERE pos = n UNION ALL SELECT t.uid, t.pos, t.mask, t.score + 0.5 * g.value * g.mask FROM g JOIN t ON t.uid = g.uid AND t.pos = g.pos - 1)
+    SELECT uid, pos, round(value + 3e-7, 5) AS value FROM g""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    ones = F.transform("score", lambda x: F.lit(1.0))
-    rows = responses(s, d).select("uid", F.posexplode(advantage.discounted_returns(F.col("score"), ones, 0.5)).alias("p", "v"))
+    rows = responses(s, d).select("uid", F.posexplode(advantage.discounted_returns(F.col("score"), F.col("mask"), 0.5)).alias("p", "v"))
     return rows.select("uid", (F.col("p") + 1).alias("pos"), F.round(F.col("v") + 3e-7, 5).alias("value"))
 
 
-@query("gae")
+@query(
+    "reinforce_plus_plus",
+    f"""WITH {_BACKWARD}, g AS (SELECT uid, pos, mask, score AS value FROM z WHERE pos = n UNION ALL SELECT t.uid, t.pos, t.mask, t.score + 0.5 * g.value * g.mask FROM g JOIN t ON t.uid = g.uid AND t.pos = g.pos - 1)
+    SELECT uid, pos, round(mask * (value - avg(value) FILTER (WHERE mask = 1) OVER ()) / sqrt(var_samp(value) FILTER (WHERE mask = 1) OVER () + 1e-8) + 3e-8, 5) AS advantage FROM g""",
+)
 def _(s: SparkSession, d: str) -> DataFrame:
-    rows = responses(s, d).select("uid", F.posexplode(advantage.generalized_advantages(F.col("score"), F.col("new"), F.col("mask"), 0.99, 0.95)).alias("pos", "v"))
-    return rows.select("uid", "pos", r6("v").alias("advantage"))
+    rows = advantage.reinforce_plus_plus(responses(s, d), 0.5).select("uid", F.posexplode("advantage").alias("p", "v"))
+    return rows.select("uid", (F.col("p") + 1).alias("pos"), F.round(F.col("v") + 3e-8, 5).alias("advantage"))
+
+
+@query(
+    "gae",
+    f"""WITH {_BACKWARD}, g AS (SELECT uid, pos, n, new AS v, mask, CASE WHEN mask = 1 THEN score - new ELSE 0 END AS a, CASE WHEN mask = 1 THEN new ELSE 0 END AS carried FROM z WHERE pos = n
+      UNION ALL SELECT t.uid, t.pos, g.n, t.new, t.mask, CASE WHEN t.mask = 1 THEN t.score + 0.99 * g.carried - t.new + 0.99 * 0.95 * g.a ELSE g.a END, CASE WHEN t.mask = 1 THEN t.new ELSE g.carried END FROM g JOIN t ON t.uid = g.uid AND t.pos = g.pos - 1)
+    SELECT uid, pos, round(a + v + 3e-8, 5) AS returns, round((a - avg(a) FILTER (WHERE mask = 1) OVER ()) / sqrt(var_samp(a) FILTER (WHERE mask = 1) OVER () + 1e-8) + 3e-8, 5) AS advantage FROM g""",
+)
+def _(s: SparkSession, d: str) -> DataFrame:
+    rows = advantage.generalized(responses(s, d).withColumnRenamed("new", "value"), 0.99, 0.95)
+    cells = rows.select("uid", F.posexplode(F.arrays_zip("returns", "advantage")).alias("p", "x"))
+    return cells.select("uid", (F.col("p") + 1).alias("pos"), F.round(F.col("x.returns") + 3e-8, 5).alias("returns"), F.round(F.col("x.advantage") + 3e-8, 5).alias("advantage"))
+
+
+@query("adv_remax", f"WITH {_TOKENS} SELECT event_id, round(sum(score * mask) OVER (PARTITION BY uid ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - 50 * mask + 3e-8, 5) AS advantage FROM t")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return advantage.estimate("remax", ordered(s, d).withColumn("baseline", F.lit(50.0))).select("event_id", F.round(F.col("advantage") + 3e-8, 5).alias("advantage"))
 
 
 # ---- losses and metrics ------------------------------------------------------------------------------------------
@@ -538,12 +603,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "mismatch_metrics",
-    f"""WITH {_TOKENS}, p AS (SELECT avg(new) AS mn, avg(old) AS mo, avg(old - new) AS kl, avg(exp(new - old) - (new - old) - 1) AS k3, exp(greatest(least(avg(new - old), 20), -20)) AS w FROM t GROUP BY uid)
-    SELECT round(avg(kl), 6) AS kl, round(avg(k3), 6) AS k3, round(avg(exp(-mn)), 5) AS ppl_new, round(avg(exp(-mo)), 5) AS ppl_old, round(sum(w) * sum(w) / (count(*) * sum(w * w)), 6) AS ess FROM p""",
+    f"""WITH {_TOKENS}, p AS (SELECT sum(mask) AS n, sum(new * mask) / sum(mask) AS mn, sum(old * mask) / sum(mask) AS mo, sum((old - new) * mask) AS kl, sum((exp(new - old) - (new - old) - 1) * mask) AS k3 FROM t GROUP BY uid)
+    SELECT round(sum(kl) / sum(n), 6) AS kl, round(sum(k3) / sum(n), 6) AS k3, round(avg(exp(-mn)), 5) AS ppl_new, round(avg(exp(-mo)), 5) AS ppl_old, round(avg(-mn), 6) AS log_ppl_new, round(avg(-mo), 6) AS log_ppl_old, round(avg(mo - mn), 6) AS log_ppl_diff, round(avg(abs(mo - mn)), 6) AS log_ppl_abs_diff,
+      round(max(mo - mn), 6) AS log_ppl_diff_max, round(min(mo - mn), 6) AS log_ppl_diff_min, round(avg(exp(mo - mn)), 6) AS ppl_ratio, round(sum(exp(mn - mo)) * sum(exp(mn - mo)) / (count(*) * sum(exp(mn - mo) * exp(mn - mo))), 6) AS ess FROM p""",
 )
 def _(s: SparkSession, d: str) -> DataFrame:
-    m = losses.mismatch(ordered(s, d), "new", "old", "uid")
-    return m.select(r6("kl").alias("kl"), r6("k3").alias("k3"), F.round("ppl_new", 5).alias("ppl_new"), F.round("ppl_old", 5).alias("ppl_old"), r6("ess").alias("ess"))
+    m = losses.mismatch(ordered(s, d), "new", "old", "uid", "mask")
+    return m.select(*[F.round(c, 5 if c.startswith("ppl_n") or c.startswith("ppl_o") else 6).alias(c) for c in m.columns])
 
 
 @query("pearson_probs", f"WITH {_TOKENS} SELECT round(max(abs(exp(new) - exp(old))), 6) AS diff_max, round(avg(abs(exp(new) - exp(old))), 6) AS diff_mean, round(stddev_samp(abs(exp(new) - exp(old))), 6) AS diff_std, round(corr(exp(new), exp(old)), 6) AS pearson FROM t")
@@ -589,25 +655,25 @@ def _(s: SparkSession, d: str) -> DataFrame:
 @query("validation_metrics")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").withColumn("hour", F.date_trunc("day", "ts")).withColumn("uid", F.concat_ws("-", "user_id", "hour"))
-    return metrics.validation(e, "event_type", "uid", "value", "props")
+    return metrics.validation(e, "event_type", "uid", "value", "props", "event_id")
 
 
 # ---- batches, sampling, retrieval --------------------------------------------------------------------------------
 
 
-@query("repeat_interleave", "SELECT n_nationkey, copy FROM nation, range(3) r(copy)")
+@query("repeat_interleave", "SELECT o_orderkey, copy FROM orders, range(3) r(copy)")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return batches.repeat(table(s, d, "nation").select("n_nationkey"), 3).withColumn("copy", F.col("copy").cast("long"))
+    return batches.repeat(table(s, d, "orders").select("o_orderkey"), 3).withColumn("copy", F.col("copy").cast("long"))
 
 
-@query("chunk_k", "SELECT n_nationkey, ((row_number() OVER (ORDER BY n_nationkey) - 1) // 4)::INT AS chunk FROM nation")
+@query("chunk_k", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 4)::INT AS chunk FROM orders")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return batches.chunks(batches.numbered(table(s, d, "nation").select("n_nationkey"), "n_nationkey"), 4).drop("pos")
+    return batches.chunks(batches.numbered(table(s, d, "orders").select("o_orderkey"), "o_orderkey"), 4).drop("pos")
 
 
-@query("pad_to_divisor", "WITH n AS (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, count(*) OVER () AS k FROM nation) SELECT n_nationkey, pos, false AS padded FROM n UNION ALL SELECT n_nationkey, pos + k, true FROM n WHERE pos < (8 - k % 8) % 8")
+@query("pad_to_divisor", "WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS k FROM orders) SELECT o_orderkey, pos, false AS padded FROM n UNION ALL SELECT o_orderkey, pos + k, true FROM n WHERE pos < (64 - k % 64) % 64")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return batches.pad_to_divisor(batches.numbered(table(s, d, "nation").select("n_nationkey"), "n_nationkey"), 8)
+    return batches.pad_to_divisor(batches.numbered(table(s, d, "orders").select("o_orderkey"), "o_orderkey"), 64)
 
 
 @query("batch_union_conflict", "SELECT count(*) AS rows, 'o_totalprice' AS column, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS conflicts FROM orders UNION ALL SELECT count(*), 'o_custkey', 0 FROM orders")
@@ -629,9 +695,10 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return batches.imbalance(batches.balanced(docs, "batch", "doc_id", "n_chars", 8))
 
 
-@query("micro_batches", "WITH n AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS pos, ceil(sum(n_chars) OVER () / 200000.0) AS k, count(*) OVER () AS r FROM documents WHERE n_chars IS NOT NULL) SELECT doc_id, (pos % greatest(1, least(k, r)))::INT AS batch FROM n")
+@query("micro_batches")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return batches.micro_batches(table(s, d, "documents").where("n_chars IS NOT NULL").select("doc_id", "n_chars"), "n_chars", "doc_id", 200000).select("doc_id", "batch")
+    docs = table(s, d, "documents").where("n_chars IS NOT NULL").withColumn("mini", F.floor(F.col("doc_id") / 500))
+    return batches.micro_batches(docs, "mini", "doc_id", "n_chars", 200000)
 
 
 @query("workload", "SELECT doc_id, 24576 * n_chars + n_chars * n_chars AS cost FROM documents")
@@ -677,3 +744,6 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     v = table(s, d, "embeddings")
     return retrieval.top_k(v, v.where("vec_id % 100 = 0"), 5).select("query", "key", r6("cosine").alias("cosine"), "rank")
+
+
+from turnwise.plans import catalogue_rows, catalogue_text  # noqa: E402, F401  register their queries
