@@ -57,3 +57,53 @@ def test_services(spark):
     got = {r.id: r.answer for r in plugins.apply(df, plugins.first_words, "prompt", "answer").collect()}
     assert got == {1: "one two three", 2: None}
     assert plugins.shorter_than(df, "prompt", 3).count() == 0 and plugins.shorter_than(df, "prompt", 4).count() == 1
+
+
+def test_cleaning_and_progress(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "generated_multi_turn_3.jsonl").write_text('{"instruction": "ｉ", "input": "“x”"}\n\n{bad\n')
+    got = files.read_cleaned(spark, str(folder), schemas.SAMPLE).collect()
+    assert [(r.instruction, r.input, r.output) for r in got] == [("i", '"x"', None)]
+    assert files.progress(spark, str(folder), schemas.SAMPLE).count() == 2 and files.progress(spark, str(tmp_path), schemas.SAMPLE).count() == 0
+    (tmp_path / "one.json").write_text('{"input": "a"}')
+    assert files.read_array_or_object(spark, str(tmp_path / "one.json"), schemas.SAMPLE).first().input == "a"
+    try:
+        files.read_array_or_object(spark, "x.txt", schemas.SAMPLE)
+        raise AssertionError
+    except ValueError:
+        pass
+    nested = spark.createDataFrame([(1, [("ａ", ["。"])])], "k int, x array<struct<s:string,t:array<string>>>")
+    assert files.cleaned(nested).first().x == [("a", ["."])]
+
+
+def test_copies_and_caches(spark, tmp_path):
+    source = f"file://{tmp_path}/a/b.txt"
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "b.txt").write_text("1")
+    target = files.copy(spark, source, f"file://{tmp_path}/c/b.txt")
+    (tmp_path / "a" / "b.txt").write_text("2")
+    files.copy(spark, source, target)
+    assert (tmp_path / "c" / "b.txt").read_text() == "1"
+    files.copy(spark, source, target, again=True)
+    assert (tmp_path / "c" / "b.txt").read_text() == "2" and files.exists(spark, target)
+    files.make_folder(spark, f"file://{tmp_path}/d")
+    assert (tmp_path / "d").is_dir() and files.is_remote("hdfs://x/y") and not files.is_remote("/x") and files.cache_name("s3://b/k/f", "/c") != files.cache_name("s3://b/j/f", "/c")
+    asked = []
+    compute = lambda: (asked.append(1), spark.range(3))[1]
+    assert [files.computed_once(spark, f"file://{tmp_path}/t", compute).count() for _ in range(2)] == [3, 3] and len(asked) == 1
+
+
+def test_logs(spark, tmp_path):
+    m = spark.createDataFrame([("loss", 1.0), ("kl", 0.5)], "name string, value double")
+    files.log_metrics(m, str(tmp_path / "log"), 1)
+    files.log_metrics(m, str(tmp_path / "log"), 2)
+    assert sorted((r.step, r.data.loss) for r in spark.read.json(str(tmp_path / "log")).collect()) == [(1, 1.0), (2, 1.0)]
+    a = spark.createDataFrame([("x",)], "s string")
+    assert files.sample_table(files.sample_table(None, a, 1), a, 2).count() == 2
+    pos = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, t string")
+    assert [tuple(r) for r in files.side_by_side(pos, pos, only=(1,)).collect()] == [(1, "b", "b")]
+    spark.createDataFrame([("p", "c", "r", 1)], "prompt string, chosen string, rejected string, x int").write.parquet(str(tmp_path / "pref"))
+    assert files.preferences(spark, str(tmp_path / "pref")).columns == ["prompt", "chosen", "rejected"]
+    files.dump_generations(spark.createDataFrame([(1, "a")], "step int, output string"), str(tmp_path / "gen"))
+    assert spark.read.json(str(tmp_path / "gen")).first().output == "a"

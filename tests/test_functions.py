@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from turnwise.functions import answers, calls, text
-from turnwise.operators import advantage, batches, dedup, losses, metrics, turns
+from turnwise.operators import advantage, batches, dedup, frames, losses, metrics, rollouts, sampling, turns
 
 LEAVES = st.one_of(st.booleans(), st.integers(-3, 3), st.floats(-3, 3, allow_nan=False), st.sampled_from(["a", "b", ""]))
 VALUES = st.recursive(LEAVES, lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.sampled_from("xyz"), x, max_size=3)), max_leaves=8)
@@ -50,23 +50,32 @@ def test_types():
 
 
 def test_format_reward(spark):
-    good = "<think>a</think>\n<tool_call>\n{}\n</tool_call>"
-    rows = spark.createDataFrame([(good, True), (good, False), ("<think>a</think>\n<response>b</response>", False), (good + good, True), ("", True)], "t string, c boolean")
-    assert [r[0] for r in rows.select(calls.format_reward(F.col("t"), F.col("c"))).collect()] == [1.0, 0.0, 1.0, 0.0, 0.0]
+    call, said = "<tool_call>\n{}\n</tool_call>", "<response>b</response>"
+    good = f"<think>a</think>\n{call}"
+    cases = [(good, call, 1.0), (good, said, 0.0), (f"<think>a</think>\n{said}", said, 1.0), (good + good, call, 0.0), ("", call, 0.0), (f"{good}\n{said}", call + said, 1.0), (f"{good} tail", call, 0.0), ("<think>a</think>", "x", 1.0), (f"{good}\n", call, 1.0)]
+    rows = spark.createDataFrame(cases, "t string, l string, want double")
+    assert all(r[0] == r[1] for r in rows.select(calls.format_reward(F.col("t"), F.col("l")), "want").collect())
+
+
+def test_length_reward(spark):
+    cases = [("no thought " * 99, 0.0), ("<think>" + "w " * 256 + "</think> x", 0.5), ("<think>" + "w " * 999 + "</think>", 1.0), ("<think>a</think><think>" + "w " * 128 + "</think>", 0.25), ("<think>", 0.0)]
+    rows = spark.createDataFrame(cases, "t string, want double")
+    assert all(float(r[0]) == r[1] for r in rows.select(calls.length_reward(F.col("t")), "want").collect())
 
 
 def test_text_scalars(spark):
     row = spark.createDataFrame([("<think>why</think>\n\nso\n", "no tags", "a <cot>b</cot> c ", "x <answer> 1 </answer><answer> 2 </answer>", "it is #### 1,234 or #### 5", None)], "a string, b string, c string, d string, e string, n string")
     got = row.select(
-        text.thought(F.col("a")), text.after_thought(F.col("a")), text.after_thought(F.col("b")), text.after_cot(F.col("c")), text.last_answer(F.col("d")), text.final_number(F.col("e")), text.thought(F.col("n")), text.date_in(F.lit("Today is 2024-05-06, Monday"))
+        text.thought(F.col("a")), text.after_thought(F.col("a")), text.after_thought(F.col("b")), text.after_cot(F.col("c")), text.last_answer(F.col("d")), text.final_number(F.col("e")), text.thought(F.col("n")), text.date_in(F.lit("Today is 2024-05-06, Monday")), text.date_in(F.lit("Today is 05/06/2024")), text.date_in(F.lit("on 2024-05-06")), text.date_in(F.lit("Today is 2024-05-06"), "verify"), text.date_in(F.lit("none"), "filter")
     ).first()
-    assert list(got) == ["why", "so", "no tags", "c", "2", "5", None, "2024-05-06"]
+    assert list(got) == ["why", "so", "no tags", "c", "2", "5", None, "2024-05-06", "05/06/2024", "2024-04-14", "Unknown", None]
 
 
 def test_normalizers():
-    assert text.plain_text(" Ａｂ，“x”… ") == 'Ab,"x"...'
-    assert text.plain_text("é中😀") == "é" and text.plain_text("中😀", False) == "中😀"
-    assert text.plain_text("") == ""
+    assert text.plain_text(" Ａｂ，\u2019x… \u00a0€5 ±1→ ") == "Ab,'x...  EUR5 +/-1->" and text.plain_text("“x”", False) == '"x"' and text.plain_text("“x”") == "“x”"
+    assert text.plain_text("\u00e9中😀") == "e\u0301" and text.plain_text("中😀", False) == "中😀"
+    assert text.plain_text("") == "" and text.plain_text("a\x00\u200b\tb") == "a\tb"
+    assert text.plain_leaves({"ｋ": ["ｖ", 1, None, {"x": "。"}]}) == {"ｋ": ["v", 1, None, {"x": "."}]}
 
 
 def test_answer_matching(spark):
@@ -75,7 +84,7 @@ def test_answer_matching(spark):
     assert [tuple(r) for r in got] == [(True, True), (False, True), (False, False)]
 
 
-@pytest.mark.parametrize(("a", "b", "same"), [("\\dfrac12", "\\frac{1}{2}", True), ("0.5", "1/2", True), ("1,000", "1000", True), ("\\sqrt2", "\\sqrt{2}", True), ("x=3", "3", True), ("3", "4", False), ("5\\text{ cm}", "5", True), (None, None, True), (None, "1", False)])
+@pytest.mark.parametrize(("a", "b", "same"), [("\\dfrac12", "\\frac{1}{2}", True), ("0.5", "1/2", True), ("1,000", "1000", False), ("\\frac1{72}", "\\frac{1}{72}", True), (".5", "0.5", True), ("\\\\frac{1}2", "\\\\frac{1}{2}", False), ("\\sqrt2", "\\sqrt{2}", True), ("x=3", "3", True), ("3", "4", False), ("5\\text{ cm}", "5", True), (None, None, True), (None, "1", False)])
 def test_same_math(a, b, same):
     assert answers.same_math(a, b) is same
 
@@ -202,6 +211,21 @@ def test_padding(spark):
     assert (got[0].r, got[0].l, got[1].r) == ([1, 2, 3, 0], [2, 3], [0, 0, 0, 0])
 
 
+def test_numbered_is_dense_on_a_large_table(spark):
+    wide = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wide}
+    for k, v in wide.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(1_000_000, numPartitions=8).select(((F.col("id") * 7919) % 1_000_003).alias("k"))
+        got = batches.numbered(rows, "k").agg(F.countDistinct("pos"), F.min("pos"), F.max("pos"), F.corr("k", "pos")).first()
+        assert got[:3] == (1_000_000, 0, 999_999) and got[3] > 0.999999
+        assert {r["split"]: r["count"] for r in sampling.train_test(rows, "k").groupBy("split").count().collect()} == {"train": 980_000, "test": 20_000}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_numbered_is_dense(spark):
     rows = spark.range(1000).select(((F.col("id") * 7919) % 1009).alias("k")).distinct()
     got = [r.pos for r in batches.numbered(rows, "k").orderBy("k").collect()]
