@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.llm.visible import INVISIBLE_PY
+from turnwise.plans.lineage import cut
 
 #: Letters and marks that look alike, each followed by its prototype.
 LOOKALIKES = {
@@ -30,6 +31,12 @@ LOOKALIKES = {
         "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX νv οo ϳj ͿJ ϲc ϹC "
         # Armenian, and letters of the Latin extensions
         "օo հh սu ցg ոn ՏS ՕO ɡg ɩi ıi ȷj ɑa "
+        # Cherokee
+        "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ "
+        # Coptic
+        "ⲀA ⲂB ⲈE ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc "
+        # Lisu
+        "ꓮA ꓐB ꓚC ꓓD ꓰE ꓝF ꓖG ꓧH ꓲI ꓙJ ꓗK ꓡL ꓟM ꓠN ꓳO ꓑP ꓣR ꓢS ꓔT ꓴU ꓦV ꓪW ꓫX ꓬY ꓜZ "
         # hyphens, quotes and other marks
         "‐- ‑- ‒- −- ﹣- ‘' ’' ʼ' ′' “\" ”\" ″\" ‚, ․. …... ⁄/ ∕/ ∶: ꞉: ǃ! ∗* ∣| ‹< ›>"
     ).split()
@@ -115,10 +122,10 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, class_id (smallest key with that look), n_docs of the class and n_forms, the number of different strings, for each text with visible characters."""
-    rows = fingerprints(df, key, text)
+    rows = cut(fingerprints(df, key, text))
     forms = rows.groupBy("s1", "s2", "t1", "t2").agg(F.min("id").alias("low"), F.count("*").alias("n"))
     looks = forms.groupBy("s1", "s2").agg(F.min("low").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_forms"))
-    return rows.join(looks, ["s1", "s2"]).select(F.col("id").alias(key), "class_id", "n_docs", "n_forms")
+    return rows.join(looks.hint("merge"), ["s1", "s2"]).select(F.col("id").alias(key), "class_id", "n_docs", "n_forms")
 
 
 def found(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,13 +133,13 @@ def found(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Pairs are formed between the different strings of a look and then handed to their documents, so exact copies
     are never compared with each other and the work follows the result."""
-    rows = fingerprints(df, key, text)
+    rows = cut(fingerprints(df, key, text))
     forms = rows.select("s1", "s2", "t1", "t2").distinct()
-    several = forms.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2")
-    rows = rows.join(several, ["s1", "s2"], "left_semi")
-    form = forms.join(several, ["s1", "s2"], "left_semi")
+    several = forms.groupBy("s1", "s2").agg(F.count("*").alias("n")).where("n > 1").select("s1", "s2").hint("merge")
+    rows = cut(rows.join(several, ["s1", "s2"], "left_semi"))  # those that look like another string
+    form = rows.select("s1", "s2", "t1", "t2").distinct()
     other = form.select("s1", "s2", F.col("t1").alias("u1"), F.col("t2").alias("u2"))
-    links = form.join(other, ["s1", "s2"]).where("struct(t1, t2) < struct(u1, u2)").drop("s1", "s2")
+    links = form.join(other.hint("merge"), ["s1", "s2"]).where("struct(t1, t2) < struct(u1, u2)").drop("s1", "s2")
     a = rows.select("t1", "t2", F.col("id").alias("a"))
     b = rows.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("id").alias("b"))
-    return links.join(a, ["t1", "t2"]).join(b, ["u1", "u2"]).select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
+    return links.join(a.hint("merge"), ["t1", "t2"]).join(b.hint("merge"), ["u1", "u2"]).select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b"))
