@@ -115,6 +115,15 @@ def test_allocation_goes_to_siblings_then_cousins():
     assert quota_sample.allocate({}, {}, tree) == {}
 
 
+def test_quotas_stay_within_the_sample(spark):
+    assert quota_sample.within({"a": 4, "b": 4, "c": 3}, {"a": 3, "b": 3, "c": 3}, 10) == {"a": 3, "b": 4, "c": 3}
+    assert quota_sample.within({"a": 5, "b": 5}, {"a": 5, "b": 5}, 3) == {"a": 5, "b": 5} and quota_sample.within({}, {}, 0) == {}
+    records = spark.createDataFrame([record(i, [f"t{i % 3}"]) for i in range(55)], RECORDS)
+    targets = spark.createDataFrame([("t0", 334, 1), ("t1", 333, 1), ("t2", 333, 1)], "tag string, target_permille int, min_rows int")
+    rep = quota_sample.report(records, targets).collect()
+    assert sum(r.taken for r in rep) == 11 and {r.target_rows for r in rep} == {4} and quota_sample.sample(records, targets).count() == 11
+
+
 RECORDS = "record_id long, tag array<string>, plain string, rank int, slice int, mix long, key string"
 
 

@@ -63,6 +63,15 @@ def allocate(quota: Mapping[str, int], available: Mapping[str, int], tree: Mappi
     return take
 
 
+def within(quota: Mapping[str, int], least: Mapping[str, int], n: int) -> dict[str, int]:
+    """Quotas that were rounded up, brought down to a sample of n rows: one row less where most was rounded up, never below what is wanted at least."""
+    out = dict(quota)
+    while (extra := sum(out.values()) - n) > 0 and (open_ := sorted((c for c in out if out[c] > least[c]), key=lambda c: (least[c] - out[c], c))):
+        for c in open_[:extra]:
+            out[c] -= 1
+    return out
+
+
 def _tagged(records: DataFrame, key: str, tags: str) -> DataFrame:
     return records.select(F.col(key).alias("key"), first_tag(F.col(tags)).alias("plain"))
 
@@ -70,6 +79,9 @@ def _tagged(records: DataFrame, key: str, tags: str) -> DataFrame:
 def report(records: DataFrame, targets: DataFrame, key: str = "record_id", tags: str = "tag", share: int = 5, tree: Mapping[str, str] = TREE) -> DataFrame:
     """tag, plain, target_rows, available, taken, short: the allocation of a sample of one `share`th of all rows.
 
+    Quotas are the targets; where rounding up makes them exceed the sample, they are brought down again, not below
+    min_rows and the exact share rounded down.
+
     target_rows is the larger of min_rows and target_permille of the sample, rounded up. short is how far a tag
     falls below its own target; taken also holds what it took over. Targets with a null or blank tag, or without
     target_permille and min_rows, are left out; spellings of one tag in the targets count as one (largest target)."""
@@ -79,9 +91,11 @@ def report(records: DataFrame, targets: DataFrame, key: str = "record_id", tags:
     have = targets.select("tag", plain_tag(F.col("tag")).alias("plain"), "target_permille", "min_rows").where("plain IS NOT NULL")
     counts = _tagged(records, key, tags).join(have.select("plain").distinct(), "plain", "left_semi").groupBy("plain").agg(F.count("*").alias("available"))
     rows = have.join(counts, "plain", "left").groupBy("plain").agg(
-        F.min("tag").alias("tag"), F.max(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("long"), F.expr(f"(coalesce(target_permille, 0) * {n}L + 999) div 1000"))).alias("target_rows"), F.max(F.coalesce("available", F.lit(0))).alias("available")
+        F.min("tag").alias("tag"), F.max(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("long"), F.expr(f"(coalesce(target_permille, 0) * {n}L + 999) div 1000"))).alias("target_rows"), F.max(F.coalesce("available", F.lit(0))).alias("available"),
+        F.max(F.greatest(F.coalesce("min_rows", F.lit(0)).cast("long"), F.expr(f"(coalesce(target_permille, 0) * {n}L) div 1000"))).alias("least"),
     ).collect()  # fmt: skip  # one row a target
-    take = allocate({r["plain"]: r["target_rows"] for r in rows}, {r["plain"]: r["available"] for r in rows}, tree)
+    quota = within({r["plain"]: r["target_rows"] for r in rows}, {r["plain"]: r["least"] for r in rows}, n)
+    take = allocate(quota, {r["plain"]: r["available"] for r in rows}, tree)
     out = [(r["tag"], r["plain"], r["target_rows"], r["available"], take[r["plain"]], max(0, r["target_rows"] - r["available"])) for r in rows]
     return spark.createDataFrame(out, "tag string, plain string, target_rows long, available long, taken long, short long")
 
