@@ -97,6 +97,15 @@ def test_leaks(spark):
     assert edited >= set(got) | {(11, 1)}
 
 
+def test_edited_passages_need_an_edit_budget(spark):
+    words = ITEM.split()
+    once, twice = (" ".join([*words[:7], "eigt", *words[8:11], *ws, *words[12:17]]) for ws in ([words[11]], ["twelves"]))
+    texts = [" ".join(words[1:17]), once, twice, twice.replace("thirteen", "thirteeeeen"), "nothing of the kind " * 30, ZH[:15] + "旧" + ZH[15:40]]
+    items = spark.createDataFrame([(1, ITEM), (2, ZH)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.near(docs(spark, texts), items).collect()} == {(0, 1), (1, 1), (2, 1), (5, 2)}
+    assert {tuple(r) for r in leaks.found(docs(spark, texts), items).collect()} == {(0, 1)}
+
+
 def test_leaks_equal_brute_force():
     rng = random.Random(5)
     words = ["ab", "cde", "fg", "hij", "klm", "no", "pq"]

@@ -208,3 +208,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     return leaks(docs, items).select("doc_id", "item_id")
+
+
+def near(docs: DataFrame, items: DataFrame, edits: int = 2) -> DataFrame:
+    """The same with passages that were edited: q-grams short enough that the bound leaves some, counted in bands of diagonals, then banded alignment."""
+    return leaks(docs, items, q=8, stride=2, edits=edits)

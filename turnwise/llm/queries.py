@@ -33,6 +33,7 @@ def queries() -> dict[str, Query]:
         "p6_segments": lambda s, d: language.segments(table(s, d, "dialogues"), table(s, d, "documents"), table(s, d, "eval_items")),
         "p6_messages": lambda s, d: language.messages(table(s, d, "dialogues"), table(s, d, "documents"), table(s, d, "eval_items")),
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_near": lambda s, d: leaks.near(table(s, d, "documents"), table(s, d, "eval_items")),
         "p10_found": lambda s, d: skeleton.found(table(s, d, "documents")),
         "p10_classes": lambda s, d: skeleton.classes(table(s, d, "documents")),
         "p10_canonical": lambda s, d: skeleton.with_canonical(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "canonical"),
