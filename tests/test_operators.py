@@ -411,7 +411,7 @@ def test_tokens_of_prompts(spark):
 
     df = spark.createDataFrame([("one three", 7), (None, None)], "p string, i int").withColumn("extra_info", F.struct(F.col("i").alias("index")))
     got = loop.prompt_rows(df, "p", 3).collect()
-    assert (got[0].ids, got[0].mask, got[0].places, got[0].index) == ([0, 3, 5], [0, 1, 1], [0, 0, 1], 7) and got[1].ids is None and got[1].index == 0
+    assert (got[0].ids, got[0].mask, got[0].places, got[0]["index"]) == ([0, 3, 5], [0, 1, 1], [0, 0, 1], 7) and got[1].ids is None and got[1]["index"] == 0
     parts = loop.message_ids(spark.createDataFrame([(["a", "a bb", "a bb ccc d"],)], "x array<string>"), "x").first().parts
     assert parts == [[1], [2], [3, 1]]
     assert loop.probed(spark.createDataFrame([("q",)], "input string"), lambda ps: ["<think>why</think>\nso"]).first()[1:] == ("why", "so")
