@@ -24,6 +24,7 @@ def test_sentences():
     got = sentences.sentences('Hello there, my friend. <tool_call>f|{"a": "some text here"}</tool_call>\n- 919-2245: 407\nWas würde das kosten? 我查了天气。 And the')
     assert [s.text for s in got] == ["Hello there, my friend.", "Was würde das kosten?", "我查了天气。", "And the"] and [s.whole for s in got] == [True, True, True, False]
     assert sentences.sentences("vor dem 02.01.2024 weglassen")[0].whole
+    assert [s.text for s in sentences.sentences("请帮我查一下栖朔桥在2025年1月27日的花粉指数。编号是C2134CY。")] == ["请帮我查一下栖朔桥在 年 月 日的花粉指数。", "编号是 。"]
     assert all(not sentences.sentences(x) for x in (None, "", "n/a", "null", "{}", "12:30", "<response></response>", "x9 K123", "..."))
     assert len(sentences.prose("a {b} <c> ```d``` e")) == len("a {b} <c> ```d``` e")
 
@@ -59,7 +60,7 @@ def test_pair_defects(spark, texts):
     cases = [
         (("assistant", "The weather in the town is fine tomorrow, and it stays warm."), None), (("assistant", ""), "empty"), (("assistant", None), "empty"), (("assistant", "<think></think>"), "empty"), (("assistant", "N/A"), "empty"), (("assistant", "​ ..."), "empty"),
         (("assistant", "", [("f", "{}")]), None), (("assistant", "", [("f", '{"a": ')]), "truncated"), (("assistant", None, [("f", None)]), None), (("assistant", "The weather in the town is fine tomor"), "truncated"), (("assistant", "<response>The weather is fine."), "truncated"),
-        (("assistant", "I'm sorry, but I can't help with that request."), "refusal"), (("assistant", "对不起，这超出了我可以讨论的范围。"), "refusal"), (("assistant", 'You asked: "could you please CHECK the weather in the town for tomorrow"'), "copy"),
+        (("assistant", "I'm sorry, but I can't help with that request."), "refusal"), (("assistant", "对不起，这超出了我可以讨论的范围。"), "refusal"), (("assistant", "I'm sorry, but I can't help with that request. Please call 555-1234."), "refusal"), (("assistant", "The clerk was unable to answer before 10:30."), None), (("assistant", "柜员起初说无法处理，后来送来了路由器。"), "other_language"), (("assistant", 'You asked: "could you please CHECK the weather in the town for tomorrow"'), "copy"),
         (("assistant", "Das Wetter ist morgen sehr schön, und ich habe alles für Sie geprüft."), "other_language"), (("assistant", "Please wait a moment for the weather. Please wait a moment for the weather."), None), (("assistant", "The clerk could not help at first, yet the tickets arrived at 11:30."), None),
     ]
     rows = [dialogue(i, ask, m, wrong=[2] if i == 0 else None) for i, (m, _) in enumerate(cases)]

@@ -144,7 +144,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     def rows(ts: list[str], ls: list[int]) -> tuple[np.ndarray, np.ndarray]:
         xs, ys = [], []
         for t, label in zip(ts, ls):
-            for variant in {t, without_accents(t)}:
+            for variant in dict.fromkeys((t, without_accents(t))):
                 w = windows(variant)
                 xs.append(w)
                 ys += [label] * len(w)

@@ -244,14 +244,14 @@ def fit_ends(dialogues: DataFrame, messages: str = "curr_messages") -> EndModel:
     return model
 
 
-#: Ways to decline, in five languages, without accents and in lower case.
+#: Ways to decline, in five languages, without accents and in lower case. What someone is reported to have said or done declines nothing.
 REFUSALS = regex.compile(
     "|".join(
         (
             # English
             r"\bi('m| am)? (sorry,? but i )?(can't|cannot|can not|won't|will not|am unable to|am not able to|'m unable to|'m not able to|must decline|have to decline|refuse|would rather not|don't feel comfortable|do not feel comfortable|am not allowed|am not permitted)\b",
             r"\b(something|anything) i (won't|will not|can't|cannot) (do|take on|help|handle|discuss)|isn't something i can|is not something i can|outside of what i am allowed|beyond what i (can|am)|request will not be (handled|answered)|no answer can be given|as an? (ai|language model|assistant),? i",
-            r"\bunable to (assist|help|comply|answer)|not able to (assist|help|comply|answer)|can't help with|cannot help with|against my (rules|guidelines|policy)",
+            r"(?<!was )(?<!were )(?<!been )\bunable to (assist|help|comply|answer)|(?<!was )(?<!were )\bnot able to (assist|help|comply|answer)|can't help with|cannot help with|against my (rules|guidelines|policy)",
             # German
             r"ihnen (leider )?nicht (weiter)?helfen|(leider )?ablehnen|nicht aeussern|als (sprachmodell|ki|assistent)|darf ich (leider )?nicht|kann ich (leider )?nicht (beantworten|helfen|tun)|werde ich nicht (beantworten|tun|ausfuehren)|moechte ich (lieber )?nicht",
             # French
@@ -259,12 +259,10 @@ REFUSALS = regex.compile(
             # Spanish
             r"\bno (puedo|podre|voy a|tengo permitido|estoy autorizado|me es posible)|prefiero no|debo (rechazar|declinar)|como (modelo|asistente)|me niego|lamento no poder",
             # Chinese
-            r"(无法|不能|不会|没法|不便)(为您|给您|帮您|继续)?(协助|回答|处理|提供|帮|做|讨论|完成|满足)|没有办法完成|得不到答复|超出了?我|还是不谈|作为(一个)?(语言模型|人工智能|ai)|恕我|恕难|拒绝(回答|处理|提供)|请另找|不予",
+            r"(?<!说)(无法|不能|不会|没法|不便)(为您|给您|帮您|继续)?(协助|回答|处理|提供|帮|做|讨论|完成|满足)|没有办法完成|得不到答复|超出了?我|还是不谈|作为(一个)?(语言模型|人工智能|ai)|恕我|恕难|拒绝(回答|处理|提供)|请另找|不予",
         )
     )
 )
-#: A clerk who could not help at first is no refusal.
-REPORTS = regex.compile(r"could not help at first|zuerst nicht helfen|ne pouvait pas aider au debut|no (podia|pudo) ayudar al principio|起初说无法处理|was unable to answer before|之前不能回复|nicht vor|avant|antes de las")
 OPENERS = regex.compile(r"<(response|think|answer)>", regex.IGNORECASE)
 
 
@@ -285,15 +283,17 @@ def is_empty(content: str) -> bool:
 
 
 def is_refusal(content: str) -> bool:
-    """A sentence that declines, and none that reports something: other sentences have no digits."""
-    declines = False
+    """A sentence that declines, and no answer beside it: other sentences with digits make up less than half of the text."""
+    declining = answering = rest = 0
     for s in _SPLIT.split(TAGS.sub(" ", content) if "<" in content else content):
         line = without_accents(s.replace("’", "'"))
-        if REFUSALS.search(line) and not REPORTS.search(line):
-            declines = True
+        if REFUSALS.search(line):
+            declining += len(line)
         elif _DIGITS.search(line):
-            return False
-    return declines
+            answering += len(line)
+        else:
+            rest += len(line)
+    return declining > 0 and answering <= declining + rest
 
 
 def _plain(text: str) -> str:

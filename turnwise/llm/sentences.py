@@ -16,7 +16,8 @@ BRACES = regex.compile(r"\{[^{}]*\}|\[[^\[\]]*\]")
 OPEN_BRACE = regex.compile(r'[\[{]\s*["{\[].*\z', regex.DOTALL)
 #: Words that stand for no content.
 PLACEHOLDERS = ("n/a", "na", "null", "none", "nil", "nan", "undefined", "empty", "tbd", "no answer", "no response", "keine", "keine angabe", "k.a.", "aucun", "aucune", "ninguno", "ninguna", "vacío", "vide", "leer", "无", "空", "暂无", "没有内容", "无内容")
-CODES = regex.compile(r"[\w-]*[\d_][\w-]*|\b[A-Za-z]+(?:[A-Z][a-z]+)+\b")
+#: Codes hold a digit or _; characters of scripts without blanks beside them are no part of them.
+CODES = regex.compile(r"[\w--[\p{Han}\p{Hiragana}\p{Katakana}]-]*[\d_][\w--[\p{Han}\p{Hiragana}\p{Katakana}]-]*|\b[A-Za-z]+(?:[A-Z][a-z]+)+\b", regex.V1)
 END = regex.compile(rf"[.!?…]+[\"'»”)]*(?=\s|\z|{HAN})|[。！？]+[\"”）]*|\n+")
 LATIN_RUN = regex.compile(r"(?:[\p{Latin}'’-]+[\s,;:]+){3,}[\p{Latin}'’-]+[,.;:!?]*")
 
