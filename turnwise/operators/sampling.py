@@ -22,15 +22,22 @@ def shuffled_head(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def train_test(df: DataFrame, key: str, share: float = 0.02, seed: int = 2025) -> DataFrame:
-    """`df` with split: the last int(n * share) rows of a seeded shuffle are test; where that is 0, all rows are."""
-    n = df.count()
-    test = int(n * share)
+    """`df` with split: the last int(n * share) rows of a seeded shuffle by a unique key are test; where that is 0, all rows are.
+
+    No row is moved: the counts of 65536 ranges of the draw tell in which range the edge lies, and only the rows of that
+    range are ordered to find it."""
+    drawn = df.withColumn("_draw", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))))
+    sizes = {r[0]: r[1] for r in drawn.groupBy(F.substring("_draw", 1, 4)).count().collect()}  # at most 65536 rows
+    test = int(sum(sizes.values()) * share)
     if not test:
         return df.withColumn("split", F.lit("test"))
-    # the last rows are those with the largest draws: a bounded share is ranked, the rest is only compared with its edge
-    drawn = df.withColumn("_draw", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"))))
-    ranked = numbered(drawn, "_draw", "_pos")
-    return ranked.withColumn("split", F.when(F.col("_pos") >= n - test, "test").otherwise("train")).drop("_draw", "_pos")
+    left = test
+    for part in sorted(sizes, reverse=True):
+        if sizes[part] >= left:
+            break
+        left -= sizes[part]
+    edge = drawn.where(F.substring("_draw", 1, 4) == part).select("_draw").orderBy(F.desc("_draw")).limit(left).agg(F.min("_draw")).first()[0]
+    return drawn.withColumn("split", F.when(F.col("_draw") >= edge, "test").otherwise("train")).drop("_draw")
 
 
 def weighted_draws(groups: DataFrame, name: str, weight: str, draws: int, seed: int = 7) -> DataFrame:
