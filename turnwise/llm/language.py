@@ -181,7 +181,9 @@ def segments(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "
         for b in batches:
             cid, en, turn, contents = (b.column(k).to_pylist() for k in range(4))
             found = [(k, j, s) for k, c in enumerate(contents) for j, s in enumerate(sentences(c))]
-            p = with_neighbours(net.probabilities([s.text for _, _, s in found]), np.array([k for k, _, _ in found], dtype=np.int64))
+            once: dict[str, int] = {}  # sentences are compared without their codes, so many are equal
+            at = [once.setdefault(s.text, len(once)) for _, _, s in found]
+            p = with_neighbours(net.probabilities(list(once))[at], np.array([k for k, _, _ in found], dtype=np.int64))
             cols = list(zip(*((cid[k], en[k], turn[k], j, s.start, s.end, LANGS[lang], q, s.whole) for (k, j, s), lang, q in zip(found, p.argmax(axis=1).tolist(), p.max(axis=1).tolist())))) or [()] * 9
             kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["cid", "is_en", "turn_no", "part", "start", "end", "lang", "confidence", "whole"])

@@ -283,17 +283,16 @@ def is_empty(content: str) -> bool:
 
 
 def is_refusal(content: str) -> bool:
-    """A sentence that declines, and no answer beside it: other sentences with digits make up less than half of the text."""
-    declining = answering = rest = 0
-    for s in _SPLIT.split(TAGS.sub(" ", content) if "<" in content else content):
-        line = without_accents(s.replace("’", "'"))
-        if REFUSALS.search(line):
-            declining += len(line)
-        elif _DIGITS.search(line):
-            answering += len(line)
-        else:
-            rest += len(line)
-    return declining > 0 and answering <= declining + rest
+    """A sentence that declines, and no answer beside it: other sentences with digits make up at most half of the text.
+
+    Of three or more sentences those with digits are taken as answers at once if they make up more than that."""
+    lines = [x for x in _SPLIT.split(TAGS.sub(" ", content) if "<" in content else content) if x.strip()]
+    dated = [_DIGITS.search(x) is not None for x in lines]
+    total = sum(map(len, lines))
+    if len(lines) > 2 and 2 * sum(len(x) for x, d in zip(lines, dated) if d) > total:
+        return False
+    declines = [REFUSALS.search(without_accents(x.replace("’", "'"))) is not None for x in lines]
+    return any(declines) and 2 * sum(len(x) for x, d, r in zip(lines, dated, declines) if d and not r) <= total
 
 
 def _plain(text: str) -> str:
@@ -334,7 +333,9 @@ def languages(texts: list[str], bayes: NaiveBayes, sure: float = 0.6) -> list[se
     """The languages of each text's sentences."""
     parts = [(k, s.text) for k, t in enumerate(texts) for s in sentences(t)]
     owner = np.array([k for k, _ in parts], dtype=np.int64)
-    p = with_neighbours(bayes.posteriors([t for _, t in parts]), owner)
+    once: dict[str, int] = {}
+    at = [once.setdefault(t, len(once)) for _, t in parts]
+    p = with_neighbours(bayes.posteriors(list(once))[at], owner)
     out: list[set[int]] = [set() for _ in texts]
     for k, lang, q in zip(owner.tolist(), p.argmax(axis=1).tolist(), p.max(axis=1).tolist()):
         if q >= sure:
