@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,12 @@ def fit(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     return train(*rows([texts[k] for k in keep], [labels[k] for k in keep]), rounds=3, seed=seed)
 
 
+@lru_cache(maxsize=2)
+def fitted(texts: tuple[str, ...], labels: tuple[int, ...]) -> Network:
+    """`fit`, once for each sample in a session."""
+    return fit(list(texts), list(labels))
+
+
 def english(dialogues: DataFrame, messages: str = "curr_messages") -> DataFrame:
     """cid, text, lang of the dialogues that are labelled as English: their contents, a line each."""
     return dialogues.where("is_en").select("cid", F.array_join(F.transform(messages, lambda m: m["content"]), "\n").alias("text"), F.lit("en").alias("lang"))
@@ -170,7 +177,8 @@ def segments(dialogues: DataFrame, *labelled_texts: DataFrame, messages: str = "
     prose (empty, null, code, codes, placeholders) have no row. Contents of any length are judged to their end. Rows with a
     null cid or null messages have no row. The network is trained on a bounded sample of tables with text and lang."""
     own = english(dialogues, messages)
-    net = fit(*labelled(*labelled_texts, own, docs_a_language=docs_a_language, sentences_a_language=sentences_a_language))
+    texts, labels = labelled(*labelled_texts, own, docs_a_language=docs_a_language, sentences_a_language=sentences_a_language)
+    net = fitted(tuple(texts), tuple(labels))
     spark = dialogues.sparkSession
     share = spark.sparkContext.broadcast(net)
     rows = dialogues.where("cid IS NOT NULL").select("cid", "is_en", F.posexplode(messages).alias("place", "m")).select("cid", "is_en", (F.col("place") + 1).alias("turn_no"), F.col("m.content").alias("content")).where(F.length("content") > 0)

@@ -57,18 +57,19 @@ def _beside(df: DataFrame, rows: int) -> DataFrame:
 def source_quality(patterns: DataFrame, rounds: int = 12, tolerance: float = 0.002, prior: float = 0.5) -> DataFrame:
     """source, sens, spec: by expectation maximization over patterns (pattern, reporting, asserting, good, n), until no value moves by more than the tolerance."""
     parts = cut(patterns.select("pattern", "good", "n", "asserting", F.explode("reporting").alias("source")).select("pattern", "good", "n", "source", F.array_contains("asserting", F.col("source")).alias("said")))
-    sources = parts.select("source").distinct().withColumns({"sens": F.lit(0.8), "spec": F.lit(0.9)})
+    sources = cut(parts.select("source").distinct().withColumns({"sens": F.lit(0.8), "spec": F.lit(0.9)}))
+    few = sources.limit((1 << 16) + 1).count() <= 1 << 16
     for _ in range(rounds):
-        known = _beside(cut(sources), 1 << 16)
+        known = F.broadcast(sources) if few else sources.hint("merge")
         p = parts.join(known, "source").groupBy("pattern").agg(_truth(F.first("good"), F.sum(_weight(F.col("said"))), prior).alias("p"))
         share = lambda part, whole, a, b: (F.sum(part) + a) / (F.sum(whole) + a + b)
         true, false = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
         new = parts.join(p.hint("merge"), "pattern").groupBy("source").agg(
-            share(F.when(F.col("said"), true).otherwise(0.0), true, 2, 1).alias("sens"), (1 - share(F.when(F.col("said"), false).otherwise(0.0), false, 1, 9)).alias("spec")
+            share(F.when(F.col("said"), true).otherwise(0.0), true, 2, 1).alias("new_sens"), (1 - share(F.when(F.col("said"), false).otherwise(0.0), false, 1, 9)).alias("new_spec")
         )
-        new = cut(new)
-        moved = new.join(sources.select("source", F.col("sens").alias("s0"), F.col("spec").alias("s1")).hint("merge"), "source").agg(F.max(F.greatest(F.abs(F.col("sens") - F.col("s0")), F.abs(F.col("spec") - F.col("s1"))))).first()[0]
-        sources = new
+        both = cut(new.join(known, "source"))
+        moved = both.agg(F.max(F.greatest(F.abs(F.col("new_sens") - F.col("sens")), F.abs(F.col("new_spec") - F.col("spec"))))).first()[0]
+        sources = both.select("source", F.col("new_sens").alias("sens"), F.col("new_spec").alias("spec"))
         if moved is None or moved <= tolerance:
             break
     return sources
