@@ -209,7 +209,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return labelled_events(s, d).select("event_id", F.size(found).alias("n_calls"), F.get(found, F.lit(0)).alias("body"))
 
 
-@query("call_exact_reward", f"WITH {_EVENTS} SELECT event_id, CASE WHEN next_type = event_type AND next_k = k THEN 1.0 ELSE 0.0 END AS reward FROM x WHERE response IS NOT NULL")
+@query("call_exact_reward", f"WITH {_EVENTS} SELECT event_id, CASE WHEN next_type = event_type AND next_k = k THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM x WHERE response IS NOT NULL")
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = labelled_events(s, d).where("response IS NOT NULL")
     canon = lambda c: calls.canonical_calls(calls.bodies(F.col(c)))

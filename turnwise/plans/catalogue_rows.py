@@ -430,7 +430,7 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(rollouts.token_metrics(tokens(s, d), "advantage", "score", "new"), 5)
 
 
-@query("stage_timings", f"WITH {_ROLLOUTS}, s AS (SELECT sum(prompt_length) AS p, sum(length) AS l FROM r) SELECT stage, seconds, round(CASE WHEN stage = 'gen' THEN seconds * 1000 / l WHEN stage = 'adv' THEN seconds * 1000 / (p + l) END, 6)::DOUBLE AS ms_per_token FROM (VALUES ('gen', 2.5), ('adv', 1.5), ('step', 9.0)) v(stage, seconds), s")
+@query("stage_timings", f"WITH {_ROLLOUTS}, s AS (SELECT sum(prompt_length) AS p, sum(length) AS l FROM r) SELECT stage, seconds::DOUBLE AS seconds, round(CASE WHEN stage = 'gen' THEN seconds * 1000 / l WHEN stage = 'adv' THEN seconds * 1000 / (p + l) END, 6)::DOUBLE AS ms_per_token FROM (VALUES ('gen', 2.5), ('adv', 1.5), ('step', 9.0)) v(stage, seconds), s")
 def _(s: SparkSession, d: str) -> DataFrame:
     stages = s.createDataFrame([("gen", 2.5), ("adv", 1.5), ("step", 9.0)], "stage string, seconds double")
     return rollouts.timings(rollout_rows(s, d), stages).withColumn("ms_per_token", r6("ms_per_token"))
