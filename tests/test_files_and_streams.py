@@ -107,3 +107,12 @@ def test_logs(spark, tmp_path):
     assert files.preferences(spark, str(tmp_path / "pref")).columns == ["prompt", "chosen", "rejected"]
     files.dump_generations(spark.createDataFrame([(1, "a")], "step int, output string"), str(tmp_path / "gen"))
     assert spark.read.json(str(tmp_path / "gen")).first().output == "a"
+
+
+def test_samples_and_evaluation_rows(spark, tmp_path):
+    spark.range(50).selectExpr("id", "concat('p', id) AS prompt", "array('a') AS responses", "'s' AS data_source", "struct('g' AS ground_truth) AS reward_model").write.parquet(str(tmp_path / "e"))
+    path = str(tmp_path / "e")
+    assert files.read_samples(spark, path, key="id").count() == 50 and [r.id for r in files.read_samples(spark, path, key="id", most=3).collect()] == [0, 1, 2]
+    drawn = [r.id for r in files.read_samples(spark, path, key="id", most=5, shuffle=True).collect()]
+    assert len(drawn) == 5 and drawn != [0, 1, 2, 3, 4]
+    assert tuple(files.evaluation_rows(spark, path).orderBy("prompt").first()) == ("p0", ["a"], "s", "g")

@@ -202,6 +202,13 @@ def test_differencing_equal_sizes():
         batches.differencing([1, 2, 3], 2, equal=True)
 
 
+def test_checked_parts():
+    assert sorted(i for p in batches.checked_parts([3, 1, 2, 9], 2) for i in p) == [0, 1, 2, 3]
+    for bad in (([1], 2, False), ([1, 2, 3], 2, True)):
+        with pytest.raises(ValueError):
+            batches.checked_parts(*bad)
+
+
 def test_padding(spark):
     rows = spark.range(5).withColumnRenamed("id", "pos")
     padded = batches.pad_to_divisor(rows, 4)

@@ -15,17 +15,17 @@ from pyspark.sql import types as T
 SYMBOLS = regex.compile(r"[\U0001F600-\U0001F64F]|[\U0001F300-\U0001F5FF]|[\U0001F680-\U0001F6FF]|[\U0001F1E0-\U0001F1FF]|[\U00002702-\U000027B0]|[\U000024C2-\U0001F251]")
 #: Punctuation and its plain form, for what the compatibility form leaves as it is.
 PUNCTUATION = {
-    "\u201a": "'", "\u201e": '"', "\u2039": "<", "\u203a": ">", "\u00ab": '"', "\u00bb": '"', "\u2019": "'",
-    "\u2014": "-", "\u2013": "-", "\u2212": "-", "\u2012": "-", "\u2015": "-",
-    "\u2022": "*", "\u2027": ".", "\u00b7": ".", "\u203b": "*", "\u00a7": "S", "\u00b6": "P", "\u2020": "+", "\u2021": "+",
-    "\u00b0": "deg", "\u2032": "'", "\u00bf": "?", "\u00a1": "!",
-    "\u20ac": "EUR", "\u00a3": "GBP", "\u00a5": "JPY", "\u00a2": "c",
-    "\u00d7": "x", "\u00f7": "/", "\u00b1": "+/-", "\u221e": "inf", "\u2264": "<=", "\u2265": ">=", "\u2248": "~",
-    "\u2192": "->", "\u2190": "<-", "\u2191": "^", "\u2193": "v", "\u21d2": "=>", "\u21d0": "<=", "\u21d4": "<=>",
-    "\u3002": ".",
+    "‚": "'", "„": '"', "‹": "<", "›": ">", "«": '"', "»": '"', "’": "'",
+    "—": "-", "–": "-", "−": "-", "‒": "-", "―": "-",
+    "•": "*", "‧": ".", "·": ".", "※": "*", "§": "S", "¶": "P", "†": "+", "‡": "+",
+    "°": "deg", "′": "'", "¿": "?", "¡": "!",
+    "€": "EUR", "£": "GBP", "¥": "JPY", "¢": "c",
+    "×": "x", "÷": "/", "±": "+/-", "∞": "inf", "≤": "<=", "≥": ">=", "≈": "~",
+    "→": "->", "←": "<-", "↑": "^", "↓": "v", "⇒": "=>", "⇐": "<=", "⇔": "<=>",
+    "。": ".",
 }
 #: Quotes that only the second form makes plain.
-CURLY = {"\u2018": "'", "\u201d": '"', "\u201c": '"'}
+CURLY = {"‘": "'", "”": '"', "“": '"'}
 #: Fixed value: both forms also shorten this text.
 SHORTENED = (": \"'\", ", "'")
 _BOTH, _FIRST = str.maketrans(PUNCTUATION | CURLY), str.maketrans(PUNCTUATION)

@@ -54,9 +54,10 @@ def union_columns(a: DataFrame, b: DataFrame, key: str) -> tuple[DataFrame, Data
     """Two tables over the same rows side by side, and one row (rows, conflicts) for each shared column whose values differ."""
     shared = [c for c in a.columns if c in b.columns and c != key]
     other = b.select(key, *[F.col(c).alias(f"_{c}") if c in shared else F.col(c) for c in b.columns if c != key])
-    both = a.join(other, key)
+    both = a.join(other.hint("merge"), key)
     checks = both.agg(F.count("*").alias("rows"), *[F.count_if(~F.col(c).eqNullSafe(F.col(f"_{c}"))).alias(c) for c in shared])
-    conflicts = checks.select("rows", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("conflicts")) for c in shared])).alias("x")).select("rows", "x.column", "x.conflicts")
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("conflicts")) for c in shared]).cast("array<struct<column:string,conflicts:bigint>>")
+    conflicts = checks.select("rows", F.explode(each).alias("x")).select("rows", "x.column", "x.conflicts")
     return both.drop(*[f"_{c}" for c in shared]), conflicts
 
 
@@ -80,6 +81,16 @@ def differencing(lengths: list[int], k: int, equal: bool = False) -> list[list[i
     return [sorted(rows) for _, rows in heap[0][2]] if heap else [[] for _ in range(k)]
 
 
+def checked_parts(lengths: list[int], k: int, equal: bool = False) -> list[list[int]]:
+    """Balanced parts that hold every index once and none of which is empty; fewer rows than parts are an error."""
+    if len(lengths) < k:
+        raise ValueError(f"{len(lengths)} rows for {k} parts")
+    parts = differencing(lengths, k, equal)
+    if len(parts) != k or not all(parts) or sorted(i for p in parts for i in p) != list(range(len(lengths))):
+        raise ValueError("parts don't cover the rows")
+    return parts
+
+
 def balanced(df: DataFrame, group: str, key: str, length: str, k: int) -> DataFrame:
     """group, key, length, part: each group's rows in k parts of nearly equal length. A group is one batch, of bounded size."""
     def split(b: pd.DataFrame) -> pd.DataFrame:

@@ -26,6 +26,12 @@ def spread(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def group_moments(df: DataFrame, group: str, score: str, floor: float = 1e-6) -> DataFrame:
+    """group, mean, std, n of each group's scores; a single row has mean 0 and deviation 1, and the variance is held above the floor."""
+    m = df.groupBy(group).agg(F.avg(score).alias("m"), F.var_samp(score).alias("v"), F.count("*").alias("n"))
+    return m.select(group, F.when(F.col("n") == 1, 0.0).otherwise(F.col("m")).alias("mean"), F.when(F.col("n") == 1, 1.0).otherwise(F.sqrt(F.greatest("v", F.lit(floor)))).alias("std"), "n")
+
+
 def all_reduced(df: DataFrame, value: str) -> DataFrame:
     """One row: mean, high, low and std (of the population, by the mean of squares) over all rows of all tasks."""
     x = F.col(value).cast("double")

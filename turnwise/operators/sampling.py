@@ -70,11 +70,10 @@ def interleaved_descending(df: DataFrame, load: str, order: str) -> DataFrame:
 
 
 def uniform_draws(pool: DataFrame, key: str, draws: int, seed: int = 11) -> DataFrame:
-    """draw and the rows of a bounded pool, drawn with replacement, each alike."""
-    w = W.orderBy(key)
-    rows = pool.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(W.partitionBy()))
+    """draw and the rows of a pool, drawn with replacement, each alike. The pool is numbered in ranges of its key, and its size is one row."""
+    rows = numbered(pool, key, "_k")
     points = pool.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_u", uniform(F.lit(seed), "draw"))
-    return points.join(F.broadcast(rows), F.floor(F.col("_u") * F.col("_n")) == F.col("_k")).drop("_u", "_k", "_n")
+    return points.crossJoin(F.broadcast(pool.agg(F.count("*").alias("_n")))).withColumn("_k", F.floor(F.col("_u") * F.col("_n"))).join(rows, "_k").drop("_u", "_k", "_n")
 
 
 def head(df: DataFrame, order: str, n: int) -> DataFrame:

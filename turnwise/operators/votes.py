@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from turnwise.operators.batches import numbered
+
 
 def majority(votes: DataFrame, key: str, label: str, pos: str, quorum: int = 2) -> DataFrame:
     """key, label, n, consensus: the most frequent label; ties go to the one seen first. Two combinable aggregations, no window."""
@@ -65,7 +66,6 @@ def judge_summary(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def canonical_labels(df: DataFrame, label: str) -> DataFrame:
-    """`df` with label numbers from 0 in order of the labels. The distinct labels alone are ranked; their table meets the rows in a merge."""
+    """`df` with label numbers from 0 in order of the labels. The distinct labels alone are numbered, in ranges; their table meets the rows in a merge."""
     names = df.select(F.col(label).alias("_l")).distinct()
-    ranked = names.withColumn("label", (F.dense_rank().over(W.orderBy("_l")) - 1).cast("long"))
-    return df.join(ranked.hint("merge"), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    return df.join(numbered(names, "_l", "label").hint("merge"), F.col(label).eqNullSafe(F.col("_l"))).drop("_l")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from turnwise.functions import tensors
-from turnwise.operators import batches, frames, losses, rollouts, sampling
+from turnwise.operators import batches, frames, losses, metrics, rollouts, sampling
 from turnwise.plans.registry import query, r6
 from turnwise.sources import files
 from turnwise.sources.tables import table
@@ -502,3 +502,22 @@ def _(s: SparkSession, d: str) -> DataFrame:
 def _(s: SparkSession, d: str) -> DataFrame:
     right = batches.numbered(table(s, d, "customer").select("c_custkey"), "c_custkey")
     return files.side_by_side(orders(s, d).select("pos", "o_orderkey"), right, only=(1, 5, 9))
+
+
+@query("group_moments", "SELECT user_id, CASE WHEN count(*) = 1 THEN 0 ELSE round(avg(value), 6) END::DOUBLE AS mean, round(CASE WHEN count(*) = 1 THEN 1 ELSE sqrt(greatest(var_samp(value), 1e-6)) END, 6)::DOUBLE AS std, count(*) AS n FROM events GROUP BY user_id")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(metrics.group_moments(table(s, d, "events"), "user_id", "value"))
+
+
+@query("all_reduced", f"WITH {_TOKENS} SELECT round(avg(score), 5) AS mean, round(max(score), 5) AS high, round(min(score), 5) AS low, round(stddev_pop(score), 5) AS std, round(sum(score * mask) / sum(mask), 5) AS masked FROM t")
+def _(s: SparkSession, d: str) -> DataFrame:
+    t = tokens(s, d)
+    return rounded(metrics.all_reduced(t, "score").crossJoin(metrics.masked_reduced(t, "score", "mask").withColumnRenamed("mean", "masked")), 5)
+
+
+@query("repeated_with_responses", "SELECT o_orderkey, k AS sample, o_custkey + k AS response FROM orders, range(2) r(k)")
+def _(s: SparkSession, d: str) -> DataFrame:
+    prompts = table(s, d, "orders").select("o_orderkey", "o_custkey")
+    answers = batches.repeat(prompts, 2).select("o_orderkey", F.col("copy").cast("long").alias("sample"), (F.col("o_custkey") + F.col("copy")).alias("response"))
+    both, _conflicts = batches.union_columns(batches.repeat(prompts.select("o_orderkey"), 2).select(F.struct("o_orderkey", F.col("copy").cast("long").alias("sample")).alias("key")), answers.select(F.struct("o_orderkey", "sample").alias("key"), "response"), "key")
+    return both.select("key.o_orderkey", "key.sample", "response")

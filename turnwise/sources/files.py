@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.functions.text import normalized_json, normalized_keeping_symbols
+from turnwise.operators.sampling import sample_of
 
 
 def read_records(spark: SparkSession, folder: str, schema: T.StructType, corrupt: str = "_corrupt") -> DataFrame:
@@ -101,6 +102,17 @@ def progress(spark: SparkSession, folder: str, schema: T.StructType, files: int
     return spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
 
 
+def read_samples(spark: SparkSession, *paths: str, key: str, most: int = -1, shuffle: bool = False, seed: int = 42) -> DataFrame:
+    """Parquet files one below the other: all rows, or at most so many, the first by key or those of a seeded draw."""
+    return sample_of(read_tables(spark, *paths), key, most, shuffle, seed)
+
+
+def evaluation_rows(spark: SparkSession, *paths: str, prompt: str = "prompt", responses: str = "responses", source: str = "data_source", gold: str = "reward_model.ground_truth") -> DataFrame:
+    """prompt, responses, data_source, gold of parquet files whose columns (nested ones with dots) the caller names."""
+    df = read_tables(spark, *paths)
+    return df.select(F.col(prompt).alias("prompt"), F.col(responses).alias("responses"), F.col(source).alias("data_source"), F.col(gold).alias("gold"))
+
+
 def preferences(spark: SparkSession, *paths: str) -> DataFrame:
     """prompt, chosen, rejected of parquet files."""
     return read_tables(spark, *paths, columns=("prompt", "chosen", "rejected"))
