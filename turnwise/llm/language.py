@@ -90,8 +90,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 3, seed: int = 3, batch: i
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     for _ in range(rounds):
         order = rng.permutation(len(x))
-        for k in range(0, len(x), batch):
-            rows = order[k : k + batch]
+        for at_row in range(0, len(x), batch):
+            rows = order[at_row : at_row + batch]
             bx, n = x[rows], len(rows)
             e = p["e"][bx]
             pooled, kept = [], []
@@ -117,7 +117,8 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 3, seed: int = 3, batch: i
                 g[f"c{w}"], g[f"b{w}"] = np.einsum("bf,bfd->df", d, used), d.sum(axis=0)
                 to_bytes = (d[:, :, None] * p[f"c{w}"].T[None]).reshape(-1, EMBED)
                 which = bx[np.arange(n)[:, None, None], at[:, :, None] + np.arange(w)].reshape(-1)
-                np.add.at(g["e"], which, to_bytes)
+                for k in range(EMBED):
+                    g["e"][:, k] += np.bincount(which, to_bytes[:, k], 256)
             step += 1
             now = rate * (1 - 0.9 * step * batch / (rounds * len(x) + batch))  # falls to a tenth
             for name in p:
