@@ -190,6 +190,15 @@ def test_record_pairs_equal_brute_force(spark, seed, common):
             assert c == min(reach)
 
 
+def test_large_buckets_are_compared_in_blocks(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, [("u", " ".join([*words, f"x{i // 2}"] if i % 7 else [f"y{i}-{k}" for k in range(20)]))], [("f",)], 1, 2, 3, "x") for i in range(1400)]
+    texts, membership, reps = near_records._classes(spark.createDataFrame(rows, RECORDS), "record_id", "data", "tools")
+    links = near_records.rep_links(texts, reps)
+    n = len({" ".join(r[1][0][1].split()) for r in rows if r[0] % 7})
+    assert n > 512 and links.count() == links.distinct().count() == n * (n - 1) // 2
+
+
 def test_record_edges(spark):
     none = spark.createDataFrame([], RECORDS)
     assert near_records.found(none).count() == 0 and near_records.groups(none).count() == 0
