@@ -199,6 +199,23 @@ def test_large_buckets_are_compared_in_blocks(spark):
     assert n > 512 and links.count() == links.distinct().count() == n * (n - 1) // 2
 
 
+def test_records_with_frequent_names_take_a_bounded_number_of_rows(spark):
+    rng = random.Random(7)
+    names = [f"t{k}" for k in range(6)]
+    rows = []
+    for i in range(400):
+        text = " ".join(f"w{rng.randrange(400)}" for _ in range(60)) if i % 4 else rows[i - 1][1][0][1] + " and more" if i else "one two three"
+        rows.append((i, [("u", text)], [(x,) for x in rng.sample(names, rng.randint(2, 6))], 1, 2, 3, "x"))
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    texts, membership, reps = near_records._classes(spark.createDataFrame(rows, RECORDS), "record_id", "data", "tools")
+    before = {stages().apply(k).stageId() for k in range(stages().size())}
+    got = {tuple(r) for r in near_records._expand(membership, near_records.rep_links(texts, reps, common=16)).collect()}
+    after = [stages().apply(k) for k in range(stages().size())]
+    written = sum(s.shuffleWriteRecords() for s in after if s.stageId() not in before)
+    assert got == brute_pairs(rows) and got
+    assert written < 60 * len(rows)  # the runs of these records alone, once for each key, would be 100 to 200 times as many
+
+
 def test_record_edges(spark):
     none = spark.createDataFrame([], RECORDS)
     assert near_records.found(none).count() == 0 and near_records.groups(none).count() == 0
